@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
+from . import bpe as _bpe
 from . import embedding_dedup as _embedding
 from . import exact_dedup as _exact
+from . import packing as _packing
 from . import secret_scan as _secrets
 from . import simhash as _simhash
 
@@ -12,10 +16,29 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary; ``LEDGERLARK_TOKENIZERS`` names another folder."""
+    folder = os.environ.get("LEDGERLARK_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_round_trip(spark, sf_dir):
+    docs, path = _table(spark, sf_dir, "documents"), tokenizer_file()
+    return _bpe.round_trip(docs, path, _bpe.compile_lexicon(docs, path))
+
+
 def op3_secret_scan(spark, sf_dir):
     return _secrets.secret_scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy")
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return _packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     return _simhash.simhash_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -29,7 +52,7 @@ def op10_embedding_near_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_secret_scan, op7_simhash_near_dedup, op8_exact_dedup, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_secret_scan, op5_best_fit_packing, op7_simhash_near_dedup, op8_exact_dedup, op10_embedding_near_dedup)}
 
 
 def oracle_sql():
