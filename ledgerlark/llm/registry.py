@@ -7,6 +7,8 @@ import os
 from . import bpe as _bpe
 from . import embedding_dedup as _embedding
 from . import exact_dedup as _exact
+from . import language_id as _language
+from . import licence_scan as _licence
 from . import packing as _packing
 from . import secret_scan as _secrets
 from . import simhash as _simhash
@@ -39,6 +41,10 @@ def op5_best_fit_packing(spark, sf_dir):
     return _packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_language_id(spark, sf_dir):
+    return _language.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     return _simhash.simhash_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -47,13 +53,17 @@ def op8_exact_dedup(spark, sf_dir):
     return _exact.exact_dedup(_table(spark, sf_dir, "documents")).drop("bucket", "chain")
 
 
+def op9_licence_scan(spark, sf_dir):
+    return _licence.licence_scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_near_dedup(spark, sf_dir):
     return _embedding.embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_secret_scan, op5_best_fit_packing, op7_simhash_near_dedup, op8_exact_dedup, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_secret_scan, op5_best_fit_packing, op6_language_id, op7_simhash_near_dedup, op8_exact_dedup, op9_licence_scan, op10_embedding_near_dedup)}
 
 
 def oracle_sql():
-    return {"op8_exact_dedup": _exact.ORACLE, "op10_embedding_near_dedup": _embedding.ORACLE}
+    return {"op8_exact_dedup": _exact.ORACLE, "op9_licence_scan": _licence.oracle(), "op10_embedding_near_dedup": _embedding.ORACLE}
