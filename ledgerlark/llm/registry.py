@@ -12,6 +12,7 @@ from . import licence_scan as _licence
 from . import packing as _packing
 from . import secret_scan as _secrets
 from . import simhash as _simhash
+from . import toxicity as _toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -33,6 +34,10 @@ def op1_bpe_round_trip(spark, sf_dir):
     return _bpe.round_trip(docs, path, _bpe.compile_lexicon(docs, path))
 
 
+def op2_toxicity(spark, sf_dir):
+    return _toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark, sf_dir):
     return _secrets.secret_scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy")
 
@@ -62,7 +67,7 @@ def op10_embedding_near_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_secret_scan, op5_best_fit_packing, op6_language_id, op7_simhash_near_dedup, op8_exact_dedup, op9_licence_scan, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_toxicity, op3_secret_scan, op5_best_fit_packing, op6_language_id, op7_simhash_near_dedup, op8_exact_dedup, op9_licence_scan, op10_embedding_near_dedup)}
 
 
 def oracle_sql():
