@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from . import bpe as _bpe
 from . import embedding_dedup as _embedding
 from . import exact_dedup as _exact
@@ -12,6 +14,7 @@ from . import licence_scan as _licence
 from . import packing as _packing
 from . import secret_scan as _secrets
 from . import simhash as _simhash
+from . import suffix_dedup as _suffix
 from . import toxicity as _toxicity
 
 
@@ -42,6 +45,11 @@ def op3_secret_scan(spark, sf_dir):
     return _secrets.secret_scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy")
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    out = _suffix.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return _packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -67,7 +75,7 @@ def op10_embedding_near_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_toxicity, op3_secret_scan, op5_best_fit_packing, op6_language_id, op7_simhash_near_dedup, op8_exact_dedup, op9_licence_scan, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_toxicity, op3_secret_scan, op4_suffix_dedup, op5_best_fit_packing, op6_language_id, op7_simhash_near_dedup, op8_exact_dedup, op9_licence_scan, op10_embedding_near_dedup)}
 
 
 def oracle_sql():
