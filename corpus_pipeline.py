@@ -1,37 +1,96 @@
-"""Corpus pipeline over ``documents``; see ``STAGES``."""
+"""Corpus pipeline over ``documents``: clean, deduplicate, mask and pack.
+
+Each stage takes ``(spark, docs, sf_dir)``, works on every row that its
+predecessor kept and returns a DataFrame; all but the last return the columns
+of ``documents``.  Rows with null or repeated ids are told apart by a row
+number that follows the order of ids.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from ledgerlark.llm.common import stored
 from ledgerlark.llm.exact_dedup import exact_dedup
+from ledgerlark.llm.language_id import Mixture
+from ledgerlark.llm.packing import pack
+from ledgerlark.llm.registry import tokenizer_file
 from ledgerlark.llm.secret_scan import redact
 from ledgerlark.llm.simhash import simhash_dedup
 
+#: Python decides every stage (EM, XXH64 fingerprints, tokens); tests compare with brute force.
 ORACLE_SQL = None
 
+ROW = "ledgerlark_row"
+
+
+def _kept(docs, decide, first_null):
+    """Rows of ``docs`` that ``decide(docs, id column)`` keeps.
+
+    Ids that are unique and not null are the join key; else rows get numbers
+    in the order of ids, so that each row is decided on its own.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        order = F.asc_nulls_first("doc_id") if first_null else F.asc_nulls_last("doc_id")
+        docs = stored(docs.orderBy(order).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+        key = ROW
+    else:
+        key = "doc_id"
+    kept = decide(docs, key).where("kept").select(F.col("doc_id").alias(key))
+    return docs.join(kept, key, "left_semi").select(*[c for c in docs.columns if c != ROW])
+
+
+def known_language(spark, docs, sf_dir):
+    """Drop documents without a letter or in none of the learned languages.
+
+    Decided on the spot by a vectorised column, so no text is shuffled.
+    """
+    model = spark.sparkContext.broadcast(Mixture.fit(docs))
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        out = []
+        for s in range(0, len(texts), 128):
+            langs, score, _ = model.value.predict(texts.iloc[s : s + 128].where(texts.iloc[s : s + 128].notna(), None).tolist())
+            out += [g != "und" and p >= 0.3 for g, p in zip(langs, score)]
+        return pd.Series(out)
+
+    return docs.where(known("text"))
+
 
 def drop_exact_copies(spark, docs, sf_dir):
-    """One row of each group of equal texts stays, that with the largest id."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of equal texts the row with the largest id stays."""
+    return _kept(docs, lambda d, key: exact_dedup(d, id_col=key), True)
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of each SimHash component stays, that with the smallest id."""
-    kept = simhash_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of linked fingerprints the row with the smallest id stays."""
+    return _kept(docs, lambda d, key: simhash_dedup(d, id_col=key), False)
 
 
 def mask_secrets(spark, docs, sf_dir):
-    """Every document stays; each secret in its text is replaced by a mark."""
-    return redact(docs)
+    """Every document stays; each secret in its text becomes a mark."""
+    masked = redact(docs)
+    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return pack(docs, tokenizer_file())
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies), ("secret scans", mask_secrets)]
+STAGES = [
+    ("language ID", known_language),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack_sequences),
+]
 
 
 def run(spark, sf_dir):
-    """Apply the stages to ``documents``; each is written and read again."""
+    """Apply the stages to ``documents``; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
