@@ -14,6 +14,7 @@ word equals encoding the text.
 from __future__ import annotations
 
 import io
+import json
 import re
 from pathlib import Path
 
@@ -23,14 +24,25 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_file, one_thread, pick, scratch
+from .common import local_file, one_thread, pick, scratch, stored
 
 #: White space as the tokenizer's normaliser sees it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[^{SPACE}]+")
+#: Words for which normalisation is lower-casing: ASCII and composed Latin letters.
+_SIMPLE = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+\Z")
+_LOW = r"a-z\u00df-\u00f6\u00f8-\u017f"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOW}]+|[0-9]|[^{_LOW}0-9]+")
 _ODD = re.compile("[\x1c-\x1f]")  # space for str.split, not for the tokenizer
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text) if _ODD.search(text) else text.split()
 
@@ -141,6 +153,15 @@ class Transducer:
         return out
 
 
+def _is_word_vocabulary(model) -> bool:
+    """Whether the tokenizer normalises and splits as the quick path does."""
+    told = json.loads(model.to_str())
+    norm = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
+    split = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    pattern = split[0].get("pattern", {}).get("Regex") if split else None
+    return norm == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and [p["type"] for p in split] == ["Split", "ByteLevel"] and not told["model"]["dropout"]
+
+
 class Codec:
     """Encoder and decoder of one worker: automaton, exact merges, cache."""
 
@@ -154,7 +175,8 @@ class Codec:
         self.model.no_padding()
         self.model.no_truncation()
         self.lexicon = Transducer.load(lexicon) if lexicon else None
-        self.limit, self.cache = cache, {}
+        self.limit, self.cache, self.pieces, self.letters = cache, {}, {}, _byte_letters()
+        self.simple = _is_word_vocabulary(self.model)
         self.tokens = [self.model.id_to_token(i) or "" for i in range(max(self.model.get_vocab(with_added_tokens=True).values()) + 1)]
         self.numbers = [str(i) for i in range(len(self.tokens))]
 
@@ -168,30 +190,63 @@ class Codec:
         return cls._mine[key]
 
     def merge(self, words: list[str]) -> list[bytes]:
-        """Exact merges of words, as little-endian 32-bit ids."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        """Exact merges of words, as little-endian 32-bit ids.
+
+        A simple word is cut into the pre-tokeniser's pieces, each merged by
+        the model; any other word takes the whole tokenizer.
+        """
+        out, odd, pieces, tokenize = [], [], self.pieces, self.model.model.tokenize
+        for i, word in enumerate(words):
+            if self.simple and _SIMPLE.match(word) and "<|" not in word:
+                got = []
+                for piece in _PIECE.findall(word.lower()):
+                    ids = pieces.get(piece)
+                    if ids is None:
+                        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                        ids = np.array([t.id for t in tokenize(shown)], "<u4").tobytes()
+                        if len(pieces) >= self.limit // 2:
+                            pieces.clear()
+                        pieces[piece] = ids
+                    got.append(ids)
+                out.append(got[0] if len(got) == 1 else b"".join(got))
+            else:
+                odd.append(i)
+                out.append(b"")
+        if odd:
+            for i, e in zip(odd, self.model.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
+        """Put words into the cache, from the automaton or by merging."""
         if len(self.cache) + len(words) > self.limit:
             self.cache.clear()
-        new = [w for w in words if w not in self.cache]
-        if self.lexicon is not None and new:
-            found = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in new])
-            self.cache.update((w, v) for w, v in zip(new, found) if v is not None)
-            new = [w for w, v in zip(new, found) if v is None]
-        if new:
-            self.cache.update(zip(new, self.merge(new)))
+        if self.lexicon is not None:
+            found = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in words])
+            self.cache.update((w, v) for w, v in zip(words, found) if v is not None)
+            words = [w for w, v in zip(words, found) if v is None]
+        if words:
+            self.cache.update(zip(words, self.merge(words)))
 
     def encode_texts(self, texts: list[str | None], step: int = 64) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers; null is empty."""
         out = []
         for s in range(0, len(texts), step):
-            split = [words_of(t) if t else [] for t in texts[s : s + step]]
-            missing = set().union(*split) - self.cache.keys()
+            get, missing, todo = self.cache.get, set(), []
+            for t in texts[s : s + step]:
+                words = words_of(t) if t else []
+                got = list(map(get, words))
+                if None in got:
+                    missing.update([w for w, v in zip(words, got) if v is None])
+                    todo.append((words, None))
+                else:
+                    todo.append((None, b"".join(got)))
             if missing:
-                self.learn(missing.union(*split) if len(self.cache) + len(missing) > self.limit else missing)
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, w)) for w in split]
+                if len(self.cache) + len(missing) > self.limit:  # the cache starts anew, with all that is open
+                    missing.update(*[w for w, _ in todo if w])
+                self.learn(list(missing))
+            one = self.cache.__getitem__
+            out += [b"".join(map(one, words)) if words else done for words, done in todo]
         return out
 
     def decode(self, ids) -> str:
@@ -202,12 +257,20 @@ class Codec:
 def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = 65_536, least: int = 2) -> list[str]:
     """The ``limit`` most frequent space-delimited words of all texts.
 
-    One pass with map-side counts; only the top list reaches the driver, so
-    ``limit`` bounds the lexicon whatever the corpus holds.  Ties go by word.
+    One pass with map-side counts.  The frequency that at most ``limit`` words
+    reach comes from a histogram of counts (16 levels an octave), so the driver
+    and the lexicon hold no more than that, whatever the corpus holds.
     """
     words = pick(docs, text=text_col).select(F.explode(F.split("text", r"[ \t-\r]+")).alias("w")).where("w <> '' and octet_length(w) <= 64")
-    top = words.groupBy("w").count().where(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(limit)
-    return [r["w"] for r in top.select("w").collect()]
+    counts = stored(words.groupBy("w").count().where(F.col("count") >= least), "word-counts")
+    level = F.floor(F.log2("count") * 16)
+    room, floor = limit, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        floor = r["level"]
+    return [] if floor is None else sorted(r["w"] for r in counts.where(level >= floor).select("w").collect())
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", limit: int = 65_536) -> str:
