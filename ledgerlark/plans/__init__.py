@@ -1 +1 @@
-"""Part of the ledgerlark library."""
+"""Named queries over the test tables, each with its SQL oracle where one exists."""
