@@ -179,6 +179,7 @@ class Codec:
         self.simple = _is_word_vocabulary(self.model)
         self.tokens = [self.model.id_to_token(i) or "" for i in range(max(self.model.get_vocab(with_added_tokens=True).values()) + 1)]
         self.numbers = [str(i) for i in range(len(self.tokens))]
+        self.four = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
 
     @classmethod
     def of(cls, tokenizer: str, lexicon: str | None = None) -> Codec:
@@ -195,15 +196,23 @@ class Codec:
         A simple word is cut into the pre-tokeniser's pieces, each merged by
         the model; any other word takes the whole tokenizer.
         """
-        out, odd, pieces, tokenize = [], [], self.pieces, self.model.model.tokenize
+        out, odd, pieces, tokenize, four = [], [], self.pieces, self.model.model.tokenize, self.four
         for i, word in enumerate(words):
+            # A plain word, perhaps with one mark behind it, needs no pattern.
+            stem = word if word.isalpha() else word[:-1]
             if self.simple and _SIMPLE.match(word) and "<|" not in word:
+                if stem.isalpha() and (stem is word or word[-1] != "'"):
+                    cut = (stem.lower(),) if stem is word else (stem.lower(), word[-1])
+                    if stem is not word and (word[-1].isalnum() or not word[-1].isascii()):
+                        cut = _PIECE.findall(word.lower())
+                else:
+                    cut = _PIECE.findall(word.lower())
                 got = []
-                for piece in _PIECE.findall(word.lower()):
+                for piece in cut:
                     ids = pieces.get(piece)
                     if ids is None:
                         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                        ids = np.array([t.id for t in tokenize(shown)], "<u4").tobytes()
+                        ids = b"".join([four[t.id] for t in tokenize(shown)])
                         if len(pieces) >= self.limit // 2:
                             pieces.clear()
                         pieces[piece] = ids
@@ -236,17 +245,16 @@ class Codec:
             for t in texts[s : s + step]:
                 words = words_of(t) if t else []
                 got = list(map(get, words))
-                if None in got:
-                    missing.update([w for w, v in zip(words, got) if v is None])
-                    todo.append((words, None))
-                else:
-                    todo.append((None, b"".join(got)))
+                gaps = [i for i, v in enumerate(got) if v is None] if None in got else ()
+                missing.update([words[i] for i in gaps])
+                todo.append((words, got, gaps))
             if missing:
-                if len(self.cache) + len(missing) > self.limit:  # the cache starts anew, with all that is open
-                    missing.update(*[w for w, _ in todo if w])
                 self.learn(list(missing))
             one = self.cache.__getitem__
-            out += [b"".join(map(one, words)) if words else done for words, done in todo]
+            for words, got, gaps in todo:
+                for i in gaps:
+                    got[i] = one(words[i])
+                out.append(b"".join(got))
         return out
 
     def decode(self, ids) -> str:
