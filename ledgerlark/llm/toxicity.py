@@ -4,8 +4,9 @@ Noisy channel: an obfuscated word is the observation of a clean one whose
 letters were replaced by look-alikes, repeated, or set apart.  Its character
 lattice is decoded by Viterbi under a character trigram model counted over all
 documents.  Words that hold nothing but single letters have a lattice of one
-path and need no decoding.  The restored words are scored by naive Bayes over
-word stems learned from labelled rows outside the held-out fold.
+path and need no decoding.  The restored words are scored by logistic
+regression over word stems, learned from labelled rows outside the held-out
+fold.
 """
 
 from __future__ import annotations
@@ -141,29 +142,51 @@ def low_hashes(text: str) -> tuple[int, int, int]:
     return tuple(int((h * np.uint64(m) >> np.uint64(2)).min()) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
+def stem_counts(tokens: set[str], known: dict[str, tuple]) -> dict:
+    """Distinct tokens by stem, for tokens with a stem that counts."""
+    out: dict = {}
+    for t in tokens & known.keys():
+        for k in known[t]:
+            out[k] = out.get(k, 0) + 1
+    return out
+
+
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, ridge: float = 0.02, rounds: int = 800) -> tuple[np.ndarray, float]:
+    """Weights and bias of ridge logistic regression over sparse features (Adam)."""
+    w, bias = np.zeros(width + 1), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    w[width] = bias
+    first, second = np.zeros(width + 1), np.zeros(width + 1)
+    for step in range(1, rounds + 1):
+        z = np.bincount(rows, values * w[cols], minlength=len(y)) + w[width]
+        miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        grad = np.append(np.bincount(cols, values * miss[rows], minlength=width)[:width] + ridge * w[:width], miss.sum())
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        w -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return w[:width], float(w[width])
+
+
 class Scorer:
-    """Naive Bayes over stems; one weight a word, its strongest stem's."""
+    """Logistic model over how many distinct words of a text share each stem."""
 
-    def __init__(self, model: CharModel, weights: dict[str, float], prior: float):
-        self.model, self.weights, self.prior = model, weights, prior
+    def __init__(self, model: CharModel, weights: dict[str, float], bias: float):
+        self.model, self.weights, self.bias = model, weights, bias
         self.clean: set[str] = set()
-        self.hot: dict[str, float] = {}
+        self.hot: dict[str, tuple] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"clean": set(), "hot": {}}
 
-    def weigh(self, token: str) -> float:
-        best = 0.0
+    def stems_of(self, token: str) -> tuple:
+        found = set()
         for w in self.model.words(token):
-            keys = stems(w)
+            found.update(k for k in stems(w) if k in self.weights)
             short = _RUN.sub(r"\1", w)
-            if short != w and len(short) > 3:
-                keys.append(short + ".")
-            best = max([best, *(self.weights[k] for k in keys if k in self.weights)])
-        return best
+            if short != w and len(short) > 3 and short + "." in self.weights:
+                found.update(k for k in stems(short) if k in self.weights)
+        return tuple(found)
 
     def score(self, text: str | None) -> tuple[float, int]:
-        """(probability that the label is 1, words that count)."""
+        """(probability that the label is 1, distinct words that count)."""
         tokens = text.lower().split() if text else []
         mine = set(tokens)
         mine.update(spaced_words(tokens))
@@ -172,15 +195,17 @@ class Scorer:
         if new:
             if len(self.clean) > 300_000:
                 self.clean = set()
+            if len(self.hot) > 100_000:
+                self.hot, new = {}, mine
             for t in new:
-                w = self.weigh(t)
-                if w > 0:
-                    self.hot[t] = w
+                found = self.stems_of(t)
+                if found:
+                    self.hot[t] = found
                 else:
                     self.clean.add(t)
-        hits = [self.hot[t] for t in (mine & self.hot.keys())] if self.hot else []
-        logit = self.prior + sum(hits)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), len(hits)
+        counts = stem_counts(mine, self.hot) if self.hot else {}
+        logit = self.bias + sum(self.weights[k] * math.log1p(n) for k, n in counts.items())
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), len(mine & self.hot.keys()) if counts else 0
 
 
 def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
@@ -202,15 +227,19 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     return CharModel(counts)
 
 
-def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, max_stems: int = 20_000, margin: float = 12.0) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, max_stems: int = 5_000, margin: float = 6.0, least: int = 5) -> Scorer:
     """Stem weights from at most ``max_labelled`` labelled rows, chosen by hash.
 
     Rows of the held-out fold, without a label or with a null id are not used;
     a document with conflicting labels counts under its largest.  Of rows that
     share one of three minimum hashes of their word trigrams one counts, or a
-    text with many copies would teach its rare words.  A stem is kept if its
-    precision is at least 0.8 and its likelihood ratio beats what as many
-    random stems would reach by ``margin`` nats.
+    text with many copies would teach its rare words.  Stems are candidates if
+    twice as frequent in texts of label 1 as overall and their likelihood ratio
+    beats what as many random stems would reach by ``margin`` nats; ridge
+    logistic regression then weighs how many distinct words of a text share
+    each of those in ``least`` texts of label 1.  A stem that is all but certain
+    weighs enough to decide alone.  At most ``max_labelled`` rows of stem counts
+    reach the driver.
     """
     spark = docs.sparkSession
     known = pick(labels, doc_id=id_col, y=label_col).select(F.col("doc_id").cast("long"), F.col("y").cast("int")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
@@ -228,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
     singles = sample.select("r", "a", "b", "c")
     for mark in ("a", "b", "c"):
         singles = singles.dropDuplicates([mark])
-    sample = sample.join(F.broadcast(singles.select("r")), "r", "left_semi").select("text", "y")
+    sample = sample.join(F.broadcast(singles.select("r")), "r", "left_semi").select("text", "y", "r")
     shared = spark.sparkContext.broadcast(model)
     schema = pa.schema([("token", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
@@ -271,11 +300,42 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
         return Scorer(model, {}, -2.0 if not p else 2.0)
     rate = p / (p + n)
     gain = F.col("pos") * F.log(F.col("pos") / (F.col("pos") + F.col("neg")) / rate) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (F.col("pos") + F.col("neg")) / (1 - rate))).otherwise(0.0)
-    good = summed.where("stem <> '' and pos >= 3 and pos >= 4 * neg").withColumn("gain", gain)
     tried = summed.where("pos >= 3").count()
-    kept = good.where(F.col("gain") > math.log(max(tried, 1)) + margin).orderBy(F.desc("gain"), "stem").limit(max_stems).collect()
-    weights = {r["stem"]: math.log((r["pos"] + 0.5) / (p + 1)) - math.log((r["neg"] + 0.5) / (n + 1)) for r in kept}
-    return Scorer(model, weights, min(math.log(p / n), 0.0) - 1.0)
+    likely = summed.where("stem <> ''").where((F.col("pos") >= 3) & (F.col("pos") >= 2 * rate / (1 - rate) * F.col("neg"))).withColumn("gain", gain).where(F.col("gain") > math.log(max(tried, 1)) + margin)
+    names = sorted(r["stem"] for r in likely.orderBy(F.desc("gain"), "stem").limit(max_stems).select("stem").collect())
+    place = spark.sparkContext.broadcast({k: i for i, k in enumerate(names)})
+
+    def hits(batches):
+        """Row, label, stem and count of distinct words, for texts that hold a stem."""
+        known: dict[str, tuple] = {}
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = text.lower().split()
+                mine = {*tokens, *spaced_words(tokens)}
+                if len(known) > 300_000:
+                    known.clear()
+                for t in mine - known.keys():
+                    known[t] = tuple({place.value[s] for w in shared.value.words(t) for s in stems(w) if s in place.value})
+                for k, n in stem_counts(mine, known).items():
+                    for o, v in zip(out, (r, k, n)):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, f) for o, f in zip(out, (pa.int64(), pa.int32(), pa.int32()))], names=["r", "k", "n"])
+
+    found = sample.select("r", "text").mapInArrow(hits, "r long, k int, n int").toArrow()
+    truth = sample.select("r", F.col("y").cast("double").alias("y")).toArrow().to_pydict()
+    row_of = {r: i for i, r in enumerate(truth["r"])}
+    rows_at = np.array([row_of[r] for r in found["r"].to_pylist()], np.int64)
+    y, k, n = np.array(truth["y"]), found["k"].to_numpy().astype(np.int64), np.log1p(found["n"].to_numpy())
+    pos = np.bincount(k, (y[rows_at] > 0).astype(float), minlength=len(names))
+    neg = np.bincount(k, minlength=len(names)) - pos
+    seen = pos >= least  # in that many texts, not just in that many words
+    use = seen[k]
+    w, bias = fit_logistic(rows_at[use], k[use], n[use], (y > 0).astype(float), len(names))
+    sure = pos / (pos + neg + 2)
+    strong = seen & (sure >= 0.9)  # one word with such a stem decides alone
+    w[strong] = np.maximum(w[strong], (np.log(sure[strong] / (1 - sure[strong])) - bias) / math.log(2))
+    return Scorer(model, {name: float(v) for name, v, s in zip(names, w, seen) if s and abs(v) > 1e-3}, bias)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", scorer: Scorer | None = None) -> DataFrame:
