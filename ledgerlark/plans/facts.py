@@ -12,7 +12,7 @@ from ..operators import facts, index, labels, windows
 from .registry import query
 
 _FACTS = "SELECT l_suppkey AS filing_id, l_orderkey AS context_id, l_returnflag AS unit_id, 'tag:' || l_linestatus AS qname, l_extendedprice AS value_num, l_quantity > 10 AS is_numeric, l_linenumber AS doc_order FROM lineitem"
-_LABELS = "SELECT s_suppkey AS filing_id, 'tag:' || v.s AS qname, v.role, v.lang, v.t || s_suppkey AS label_text FROM supplier, (VALUES ('O','standard','en','a'),('O','terse',NULL,'b'),('O','total','en','c'),('F','total','de','d'),('F','verbose','en','e')) v(s, role, lang, t) WHERE s_suppkey % 3 <> 0"
+_LABELS = "SELECT s_suppkey AS filing_id, 'tag:' || v.s AS qname, v.role, v.lang, v.t || s_suppkey AS label_text FROM supplier, (VALUES ('O','standard','en','a'),('O','terse',NULL,'b'),('O','total','en','c'),('F','total','de','d'),('F','verbose','en','e')) v(s, role, lang, t) WHERE s_acctbal > 0"
 
 
 def _store(t):
@@ -24,7 +24,7 @@ def _store(t):
     units = li.select(F.col("l_suppkey").alias("filing_id"), F.col("l_returnflag").alias("unit_id")).distinct().where("unit_id <> 'R'").withColumn("measure", F.concat(F.lit("u"), "unit_id"))
     rows = [("O", "standard", "en", "a"), ("O", "terse", None, "b"), ("O", "total", "en", "c"), ("F", "total", "de", "d"), ("F", "verbose", "en", "e")]
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("s"), F.lit(b).alias("role"), F.lit(c).cast("string").alias("lang"), F.lit(d).alias("t")) for a, b, c, d in rows]))
-    lab = s.where("s_suppkey % 3 <> 0").withColumn("v", each).select(F.col("s_suppkey").alias("filing_id"), F.concat(F.lit("tag:"), "v.s").alias("qname"), "v.role", "v.lang", F.concat("v.t", F.col("s_suppkey").cast("string")).alias("label_text"))
+    lab = s.where("s_acctbal > 0").withColumn("v", each).select(F.col("s_suppkey").alias("filing_id"), F.concat(F.lit("tag:"), "v.s").alias("qname"), "v.role", "v.lang", F.concat("v.t", F.col("s_suppkey").cast("string")).alias("label_text"))
     return f, ctx, units, lab
 
 
@@ -102,7 +102,7 @@ def edges_cleaned(t):
 
 
 @query("""
-WITH e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation), q AS (SELECT 'n' || n_nationkey AS concept FROM nation WHERE n_nationkey % 4 = 0 UNION SELECT 'r1')
+WITH e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation), q AS (SELECT 'n' || n_nationkey AS concept FROM nation UNION SELECT 'r1')
 SELECT concept, child AS related, 'child' AS kind FROM q JOIN e ON parent = concept UNION SELECT concept, parent, 'parent' FROM q JOIN e ON child = concept
 UNION SELECT q.concept, b.child, 'sibling' FROM q JOIN e a ON a.child = q.concept JOIN e b ON b.parent = a.parent WHERE b.child <> q.concept
 """)
@@ -110,7 +110,7 @@ def onehop_expand(t):
     """Children, parents and siblings of concepts."""
     n = t("nation")
     e = n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"))
-    q = n.where("n_nationkey % 4 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("concept")).union(n.sparkSession.createDataFrame([("r1",)], "concept string"))
+    q = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("concept")).union(n.sparkSession.createDataFrame([("r1",)], "concept string"))
     return labels.one_hop(e, q)
 
 
@@ -249,14 +249,14 @@ def stage_counters(t):
     return ag.counters(t("events"), "event_type")
 
 
-@query("SELECT user_id, props FROM (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_id % 3 <> 0) WHERE r = 1")
+@query("SELECT user_id, props FROM (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE value >= 20) WHERE r = 1")
 def first_known(t):
     """First non-null value of each key."""
-    e = t("events").select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("props")).alias("props"))
+    e = t("events").select("user_id", "event_id", F.when(F.col("value") >= 20, F.col("props")).alias("props"))
     return ag.first_known(e, ["user_id"], "props", "event_id")
 
 
-_DEI = "d AS (SELECT user_id, max(event_type) AS t, max(event_id) AS m FROM events WHERE user_id % 3 = 0 GROUP BY user_id)"
+_DEI = "d AS (SELECT user_id, max(event_type) AS t, max(event_id) AS m FROM events WHERE event_type <> 'error' AND value > 30 GROUP BY user_id)"
 
 
 @query(f"WITH {_DEI} SELECT event_id, coalesce(t, CASE WHEN event_id % 2 = 0 THEN event_type END) AS fq FROM events LEFT JOIN d USING (user_id)")
@@ -274,7 +274,7 @@ def dei_fill(t):
 def _dei(t):
     e = t("events")
     rows = e.select("event_id", "user_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("fq"))
-    return rows, e.where("user_id % 3 = 0").groupBy("user_id").agg(F.max("event_type").alias("dei_fq"))
+    return rows, e.where("event_type <> 'error' and value > 30").groupBy("user_id").agg(F.max("event_type").alias("dei_fq"))
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL")

@@ -129,16 +129,19 @@ def hybrid_without_encoder(t):
     return _rounded(hybrid.blended(hybrid.rrf(*_lists(t)), 0.5, None, 8).select("rid", "final_score"), "final_score")
 
 
-@query("""
+@query(f"""
+WITH sp AS ({bm25_sql(limit=50)}), a AS (SELECT doc_id, source AS s, lang FROM documents JOIN sp ON doc_id = rid),
+b AS (SELECT doc_id, lang || ' ' || source || ' ' || n_chars AS s, source AS lang FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50)
 SELECT coalesce(a.doc_id, b.doc_id) AS rid, CASE WHEN length(coalesce(b.s, '')) > length(coalesce(a.s, '')) THEN b.s ELSE coalesce(a.s, '') END AS snippet, coalesce(b.lang, a.lang) AS meta
-FROM (SELECT doc_id, lang, substr(text, 1, 40) AS s FROM documents WHERE doc_id % 3 = 0) a
-FULL OUTER JOIN (SELECT doc_id, lang, substr(text, 1, 80) AS s FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id
+FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id
 """)
 def candidate_pool(t):
     """Union of two candidate lists: longest snippet, last metadata."""
     d = t("documents")
-    side = lambda where, n: d.where(where).select(F.col("doc_id").alias("rid"), F.substring("text", 1, n).alias("snippet"), F.col("lang").alias("meta"))
-    return hybrid.pooled(side("doc_id % 3 = 0", 40), side("doc_id % 2 = 0", 80))
+    hits = bm25.search(d, QUERY, 50, "doc_id").select(F.col("rid").alias("doc_id"))
+    sparse = d.join(F.broadcast(hits), "doc_id").select(F.col("doc_id").alias("rid"), F.col("source").alias("snippet"), F.col("lang").alias("meta"))
+    long = d.orderBy(F.desc("n_chars"), "doc_id").limit(50).select(F.col("doc_id").alias("rid"), F.concat_ws(" ", "lang", "source", F.col("n_chars").cast("string")).alias("snippet"), F.col("source").alias("meta"))
+    return hybrid.pooled(sparse, long)
 
 
 @query("""
@@ -253,28 +256,30 @@ def filter_grammar(t):
 
 
 def _records(t):
-    d = t("documents").where("doc_id < 400").withColumn("query_id", (F.col("doc_id") % 5).cast("int"))
-    return d.select("query_id", F.format_string("%010d-24-000001::text::chunk-%d", F.col("doc_id") % 40, F.floor(F.col("doc_id") / 40)).alias("rid"), F.col("source").alias("ticker"), F.lit("10-K").alias("form"), (2020 + F.col("doc_id") % 4).alias("fy"), F.col("lang").alias("heading"), F.col("text").alias("content"), F.lit(None).cast("string").alias("section_tag"), F.lit(False).alias("mentions_other_years"), (1.0 / (1 + F.col("doc_id"))).alias("final_score"))
+    """The records of one hybrid query: its top 50, which is the packer's input."""
+    hits = bm25.search(t("documents"), QUERY, 50, "doc_id").select(F.col("rid").alias("doc_id"), F.col("score").alias("final_score"), "rank")
+    d = t("documents").join(F.broadcast(hits), "doc_id")
+    rid = F.format_string("%010d-24-000001::text::chunk-%d", F.col("doc_id") % 40, F.floor(F.col("doc_id") / 40))
+    return d.select(F.lit(0).alias("query_id"), rid.alias("rid"), F.col("source").alias("ticker"), F.lit("10-K").alias("form"), (2020 + F.col("doc_id") % 4).alias("fy"), F.col("lang").alias("heading"), F.col("text").alias("content"), tx.section_tag(F.col("text")).alias("section_tag"), tx.mentions_other_years(F.col("text")).alias("mentions_other_years"), "final_score", F.col("rank").alias("place"), F.col("doc_id").cast("string").alias("doc"))
 
 
 @query()
 def evidence_mmr(t):
-    """Packed evidence of five stated queries; the records are the feature's input list."""
+    """Packed evidence of a query's records (tested against fixtures)."""
     return _rounded(evidence.packed(_records(t)), "score")
 
 
-@query("""
-WITH p AS (SELECT (doc_id % 5)::INT AS query_id, doc_id, lang, text FROM documents WHERE doc_id < 50)
-SELECT query_id, string_agg('[' || doc_id || ']' || chr(10) || text || chr(10), chr(10) ORDER BY doc_id) AS block FROM p GROUP BY query_id
+@query(f"""
+WITH sp AS ({bm25_sql(limit=50)})
+SELECT 0 AS query_id, string_agg('[' || doc_id || ']' || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS block FROM documents JOIN sp ON doc_id = rid
 """)
 def evidence_blocks(t):
-    """Evidence formatted for a prompt."""
-    p = t("documents").where("doc_id < 50").select((F.col("doc_id") % 5).cast("int").alias("query_id"), F.col("doc_id").cast("int").alias("place"), F.col("doc_id").cast("string").alias("rid"), "text")
-    return evidence.evidence_block(p)
+    """A query's evidence formatted for a prompt."""
+    return evidence.evidence_block(_records(t).select("query_id", "place", F.col("doc").alias("rid"), F.col("content").alias("text")))
 
 
-@query("SELECT doc_id::VARCHAR AS rid, substr(trim(text), 1, 240) AS quote FROM documents WHERE doc_id % 4 = 0")
+@query(f"WITH sp AS ({bm25_sql(limit=50)}) SELECT doc_id::VARCHAR AS rid, substr(trim(text), 1, 240) AS quote FROM documents WHERE doc_id IN (SELECT rid FROM sp)")
 def citation_guard(t):
-    """Citations whose id was packed, quotes cut."""
+    """Citations of every document; those whose id was packed stay, quotes cut."""
     d = t("documents").select(F.col("doc_id").cast("string").alias("rid"), F.col("text").alias("quote"))
-    return evidence.guarded_citations(d, t("documents").where("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("rid")))
+    return evidence.guarded_citations(d, _records(t).select(F.col("doc").alias("rid")))

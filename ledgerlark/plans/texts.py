@@ -19,12 +19,12 @@ def dedup_keep_first(t):
 
 
 @query("""
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS heading FROM conversations
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS heading FROM conversations
 """)
 def heading_ffill(t):
     """Headings carried down their file, current row included."""
     c = t("conversations")
-    return windows.fill_forward(c, ["conv_id"], ["turn", "role"], {"heading": F.when(F.col("role") == "user", F.substring("text", 1, 20))}).select("conv_id", "turn", "heading")
+    return windows.fill_forward(c, ["conv_id"], ["turn", "role"], {"heading": F.when(F.col("role") == "user", F.col("text"))}).select("conv_id", "turn", "heading")
 
 
 _SECTION = """
@@ -40,12 +40,13 @@ def section_islands(t):
 
 
 @query("""
-WITH k AS (SELECT conv_id, turn, text, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations WHERE turn % 4 <> 3)
-SELECT conv_id, min(turn) AS first_no, count(*) AS n_parts, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM k GROUP BY conv_id, g
+WITH n AS (SELECT conv_id, turn + turn // 3 AS no, text FROM conversations), k AS (SELECT conv_id, no, text, no - row_number() OVER (PARTITION BY conv_id ORDER BY no) AS g FROM n)
+SELECT conv_id, min(no) AS first_no, count(*) AS n_parts, string_agg(text, chr(10) || chr(10) ORDER BY no) AS text FROM k GROUP BY conv_id, g
 """)
 def stitch_adjacent(t):
     """Adjacent numbered rows become one."""
-    return windows.stitched(t("conversations").where("turn % 4 <> 3").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text")
+    numbered = t("conversations").select("conv_id", (F.col("turn") + F.floor(F.col("turn") / 3)).alias("no"), "text")
+    return windows.stitched(numbered, ["conv_id"], "no", "text")
 
 
 @query("SELECT conv_id, turn, (row_number() OVER w - 1)::INTEGER AS chunk_index, count(*) OVER (PARTITION BY conv_id) AS chunk_count FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -112,12 +113,12 @@ def snippet_title(t):
     return d.select("doc_id", tx.snippet(F.col("text")).alias("snippet"), tx.title(head, F.col("lang"), F.lit("10-K"), 2020 + F.col("doc_id") % 5).alias("title"))
 
 
-_MIXED = "CASE doc_id % 6 WHEN 0 THEN 'Item 1A. Risk Factors' WHEN 1 THEN 'Forward-looking words' WHEN 2 THEN 'See MD&A' WHEN 3 THEN 'as in our 2019 Form 10-K' WHEN 4 THEN 'the 2021 annual report on form 10-k' ELSE substr(text, 1, 60) END"
+_MIXED = "CASE doc_id % 6 WHEN 0 THEN 'Item 1A. Risk Factors' WHEN 1 THEN 'Forward-looking words' WHEN 2 THEN 'See MD&A' WHEN 3 THEN 'as in our 2019 Form 10-K' WHEN 4 THEN 'the 2021 annual report on form 10-k' ELSE text END"
 
 
 def _mixed():
     d = F.col("doc_id") % 6
-    return F.when(d == 0, "Item 1A. Risk Factors").when(d == 1, "Forward-looking words").when(d == 2, "See MD&A").when(d == 3, "as in our 2019 Form 10-K").when(d == 4, "the 2021 annual report on form 10-k").otherwise(F.substring("text", 1, 60))
+    return F.when(d == 0, "Item 1A. Risk Factors").when(d == 1, "Forward-looking words").when(d == 2, "See MD&A").when(d == 3, "as in our 2019 Form 10-K").when(d == 4, "the 2021 annual report on form 10-k").otherwise(F.col("text"))
 
 
 @query(f"""
@@ -128,7 +129,7 @@ def section_tags(t):
     return t("documents").select("doc_id", tx.section_tag(_mixed()).alias("tag"), tx.mentions_other_years(_mixed()).alias("other_years"))
 
 
-_LINES = "(SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '12.5' WHEN 1 THEN 'Table of Contents' WHEN 2 THEN '---' WHEN 3 THEN 'NOTE 4 LEASES' WHEN 4 THEN 'Washington, D.C. 20549' WHEN 5 THEN '[TABLE 3]' WHEN 6 THEN 'were as follows' ELSE substr(text, 1, 90) END AS s FROM documents)"
+_LINES = "(SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '12.5' WHEN 1 THEN 'Table of Contents' WHEN 2 THEN '---' WHEN 3 THEN 'NOTE 4 LEASES' WHEN 4 THEN 'Washington, D.C. 20549' WHEN 5 THEN '[TABLE 3]' WHEN 6 THEN 'were as follows' ELSE text END AS s FROM documents)"
 
 
 def _lines():
@@ -136,7 +137,7 @@ def _lines():
     out = F.when(d == 0, "12.5")
     for i, v in enumerate(("Table of Contents", "---", "NOTE 4 LEASES", "Washington, D.C. 20549", "[TABLE 3]", "were as follows"), 1):
         out = out.when(d == i, v)
-    return out.otherwise(F.substring("text", 1, 90))
+    return out.otherwise(F.col("text"))
 
 
 @query(rf"""
@@ -201,14 +202,14 @@ def label_tokens(t):
 
 
 @query("""
-WITH k AS (SELECT DISTINCT lower(array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ')) AS form, item_id FROM benchmark)
+WITH k AS (SELECT DISTINCT lower(text) AS form, item_id FROM benchmark)
 SELECT DISTINCT d.doc_id AS rid, k.item_id AS concept FROM documents d JOIN k ON contains(lower(d.text), k.form)
 """)
 def contains_join(t):
-    """Documents that hold a dictionary form: a stated set of forms against all rows."""
+    """Documents that hold a benchmark passage: a stated set of forms against all rows."""
     from ..operators.labels import annotated
 
-    forms = t("benchmark").select(F.col("item_id").alias("concept"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("form"))
+    forms = t("benchmark").select(F.col("item_id").alias("concept"), F.col("text").alias("form"))
     return annotated(t("documents").select(F.col("doc_id").alias("rid"), "text"), forms)
 
 
