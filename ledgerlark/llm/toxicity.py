@@ -142,6 +142,13 @@ def low_hashes(text: str) -> tuple[int, int, int]:
     return tuple(int((h * np.uint64(m) >> np.uint64(2)).min()) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
+def none_of(token: str, heads: set[str]) -> bool:
+    """True if the token is plain letters, perhaps with one mark behind, and its
+    first three letters start no stem: a quick no for most tokens."""
+    word = token if token.isalpha() else token[:-1] if token[-1] in ".,;:" else ""
+    return word.isalpha() and word[:3] not in heads and (len(word) < 3 or (word[0] != word[1] != word[2] != word[3:4])) and not _RUN3.search(word)
+
+
 def stem_counts(tokens: set[str], known: dict[str, tuple]) -> dict:
     """Distinct tokens by stem, for tokens with a stem that counts."""
     out: dict = {}
@@ -170,6 +177,7 @@ class Scorer:
 
     def __init__(self, model: CharModel, weights: dict[str, float], bias: float):
         self.model, self.weights, self.bias = model, weights, bias
+        self.heads = {k[:3] for k in weights}
         self.clean: set[str] = set()
         self.hot: dict[str, tuple] = {}
 
@@ -177,6 +185,8 @@ class Scorer:
         return self.__dict__ | {"clean": set(), "hot": {}}
 
     def stems_of(self, token: str) -> tuple:
+        if none_of(token, self.heads):
+            return ()
         found = set()
         for w in self.model.words(token):
             found.update(k for k in stems(w) if k in self.weights)
@@ -254,10 +264,11 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
 
     held = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
     sample = stored(held.mapInArrow(sketch, "doc_id long, text string, y int, a long, b long, c long").withColumn("r", F.monotonically_increasing_id()), "labelled")
-    singles = sample.select("r", "a", "b", "c")
-    for mark in ("a", "b", "c"):
-        singles = singles.dropDuplicates([mark])
-    sample = sample.join(F.broadcast(singles.select("r")), "r", "left_semi").select("text", "y", "r")
+    singles = sample.select("doc_id", "r", "a", "b", "c")
+    for mark in ("a", "b", "c"):  # the smallest id stays, whatever the order of rows
+        singles = singles.groupBy(mark).agg(F.min_by(F.struct(*singles.columns), F.struct("doc_id", "r")).alias("s")).select("s.*")
+    singles = stored(singles.select("r"), "labelled-once")
+    sample = sample.join(F.broadcast(singles), "r", "left_semi").select("text", "y", "r")
     shared = spark.sparkContext.broadcast(model)
     schema = pa.schema([("token", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
@@ -308,6 +319,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
     def hits(batches):
         """Row, label, stem and count of distinct words, for texts that hold a stem."""
         known: dict[str, tuple] = {}
+        heads = {k[:3] for k in place.value}
         for batch in batches:
             out: list[list] = [[], [], []]
             for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -316,7 +328,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
                 if len(known) > 300_000:
                     known.clear()
                 for t in mine - known.keys():
-                    known[t] = tuple({place.value[s] for w in shared.value.words(t) for s in stems(w) if s in place.value})
+                    known[t] = () if none_of(t, heads) else tuple({place.value[s] for w in shared.value.words(t) for s in stems(w) if s in place.value})
                 for k, n in stem_counts(mine, known).items():
                     for o, v in zip(out, (r, k, n)):
                         o.append(v)
