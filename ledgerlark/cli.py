@@ -23,9 +23,9 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--chunks", required=True)
     q.add_argument("--ticker")
     q.add_argument("--form")
-    q.add_argument("--year", type=int)
-    q.add_argument("--topk", type=int, default=8)
-    q.add_argument("--loose-filters", action="store_true", help="apply no filter")
+    for name, default in (("--year", None), ("--topk", 8)):
+        q.add_argument(name, default=default, type=int)
+    q.add_argument("--loose", help="apply no filter", action="store_true")
     q.add_argument("--json", action="store_true")
     n = sub.add_parser("named", help="run a registered query")
     n.add_argument("name")
@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "run":
         print(json.dumps(run_stages(spark, [s.strip() for s in a.stages.split(",") if s.strip()], a.source, a.out, a.overwrite)))
     elif a.command == "query":
-        r = QueryRequest(a.query, a.ticker, a.form, a.year, a.topk, strict=not a.loose_filters)
+        r = QueryRequest(a.query, a.ticker, a.form, a.year, a.topk, strict=not a.loose)
         out = run_query(spark.read.parquet(a.chunks), None, r).records
         if a.json:
             print(json.dumps([json.loads(x) for x in out.toJSON().collect()], ensure_ascii=False))

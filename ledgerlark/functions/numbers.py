@@ -124,11 +124,11 @@ def short_value(trillions: bool = False):
     return shown
 
 
-_LEGAL = [re.compile(p, re.I) for p in (r"\b(?:item|rule)\s+\d+[-a-z0-9]*\b", r"\bsection\s+\d+(?:\([a-z]\))?\b", r"§\s*\d+(?:\.\d+)*", r"\b12b-2\b")]
-_AMOUNT = re.compile(r"([€£¥$])?((?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)\s*(thousand|million|billion|mn|bn|m|k)?", re.I)
+_LEGAL = [re.compile(p, re.I) for p in (r"\b(?:item|rule)\s+\d+[-a-z0-9]*\b", r"\bsection\s+[0-9]+(?:[(][a-z][)])?\b", r"§\s*[0-9]+(?:[.][0-9]+)*", r"\b12b-2\b")]
+_AMOUNT = re.compile(r"([€£¥$])?((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.][0-9]+)?)\s*(thousand|million|billion|mn|bn|m|k)?", re.I)
 _MEMBER = re.compile(r"\b[\w:.-]*Member\b")
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
-_LONG_DATE = re.compile(rf"\b(?:{'|'.join(_MONTHS.split())})[a-z]*\s+\d{{1,2}},\s*(?:19|20)\d\d\b", re.I)
+_LONG_DATE = re.compile(rf"\b(?:{'|'.join(_MONTHS.split())})[a-z]*\s+[0-9][0-9]?,\s*(?:20|19)[0-9][0-9]\b", re.I)
 _ISO_DATE = re.compile(r"\b(?:19|20)\d\d-\d\d-\d\d\b")
 _MONTH_WORD = re.compile(r"\bmonths?\b", re.I)
 

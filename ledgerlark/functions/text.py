@@ -69,7 +69,7 @@ def ascii_marks(text: Column) -> Column:
     """Typographic marks to ASCII, blanks and line ends normalised."""
     t = F.translate(text, "—–• ", "--* ")
     t = F.replace(F.replace(t, F.lit("☒"), F.lit("[X]")), F.lit("☐"), F.lit("[ ]"))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), r"\s*[\n]\s*", "\n"))
 
 
 def spaces(text: Column) -> Column:
@@ -128,7 +128,7 @@ def section_tag(text: Column) -> Column:
 
 def mentions_other_years(text: Column) -> Column:
     """A year 2010-2025 followed by an annual-report form name."""
-    return F.coalesce(text, F.lit("")).rlike(r"(?i)\b20(1[0-9]|2[0-5])\b\s+(form\s+|annual\s+report(\s+on\s+form)?\s+)?10[-–—]k")
+    return F.coalesce(text, F.lit("")).rlike(r"(?i)\b20(1[0-9]|2[0-5])\b\s+(form\s+|annual\s+report\s+(on\s+form\s+)?)?10[-–—]k")
 
 
 def is_table_lead(text: Column) -> Column:
@@ -141,7 +141,7 @@ def is_table_lead(text: Column) -> Column:
 def is_heading(text: Column) -> Column:
     """Note or item numbers, short capitals, or a short capitalised line."""
     s = F.trim(text)
-    return s.rlike(r"(?i)^(note\s+[0-9]+|item\s+[0-9]+[a-z]?)\b") | ((s == F.upper(s)) & s.rlike(r"\p{L}") & F.length(s).between(3, 70)) | s.rlike(r"^[A-Z][A-Za-z0-9&,\s-]{0,70}$")
+    return s.rlike(r"(?i)^(note\s+[0-9]+|item\s+[0-9]+[a-z]?)\b") | ((s == F.upper(s)) & s.rlike(r"\p{L}") & F.length(s).between(3, 70)) | s.rlike(r"^[A-Z][0-9A-Za-z\s,&-]{0,70}$")
 
 
 def is_noise(text: Column, retrieval_only: bool = True, min_chars: int = 30) -> Column:

@@ -13,12 +13,13 @@ from .windows import numbered, sections
 
 _CUT = re.compile(r"(?<=[!.?。！？:;–—])\s+")
 _BULLET = re.compile(r"\s*(?:[-•—–]|\(\s*(?:\d+|[ivxlcdm]+|[A-Za-z])\s*\)|(?:[A-Za-z]|\d+)\.)\s+")
-_LEAD = re.compile(r"(?:the following(?: table)?|(?:were|are) as follows|presents? (?:as follows|below)|presented (?:as follows|below)|\(in (?:thousands|millions)\):)\s*(?:\[\w+\])?\s*$", re.I)
+_LEAD = re.compile(r"(?:the following(?: table)?|(?:were|are) as follows|presents? (?:as follows|below)|presented (?:as follows|below)|[(]in (?:thousands|millions)[)]:)\s*(?:\x5b\w+\x5d)?\s*$", re.I)
 _MARK = re.compile(r"\s*\[(?:Table|TABLE)\b.*\]\s*$")
 
 
-def cost(s: str) -> int:
-    return max(1, len(s) // 4)
+def cost(unit: str) -> int:
+    """A quarter of the characters, one at least."""
+    return len(unit) // 4 or 1
 
 
 def split_units(paragraph: str) -> list[str]:

@@ -15,6 +15,7 @@ from ..functions import text as tx
 from ..functions.types import STRINGS
 from .windows import fill_forward, first_of
 
+_BLANK, _BREAK = re.compile(r"[\t ]+"), re.compile(r"\s*\n\s*")
 _SOFT = re.compile(r"(?<=[.?!])\s+|(?=\bus-gaap:)|(?=\b(?:19|20)\d\d-\d\d-\d\d\b)", re.I)
 
 
@@ -25,8 +26,7 @@ def unescaped(texts: pd.Series) -> pd.Series:
     def one(t):
         if t is None:
             return ""
-        t = re.sub(r"[ \t]+", " ", html.unescape(t).replace("\xa0", " "))
-        return re.sub(r"\s*\n\s*", "\n", t).strip()
+        return _BREAK.sub("\n", _BLANK.sub(" ", html.unescape(t).replace("\xa0", " "))).strip()
 
     return texts.map(one)
 

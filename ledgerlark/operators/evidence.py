@@ -19,7 +19,8 @@ from ..functions.text import PACK_STOPWORDS
 from .aggregates import mode_of
 
 _CUT = re.compile(r"(?<=[.?!|。！？；;：:…—–-])\s+")
-_BULLET = re.compile(r"\s*(?:[•–—-]|\(\s*(?:[ivxlcdm]+|\d+|[A-Za-z])\s*\)|(?:\d+|[A-Za-z])\.)\s+")
+_BULLET = re.compile(r"\s*(?:[(]\s*(?:\d+|[A-Za-z]|[ivxlcdm]+)\s*[)]|[•–—-]|(?:\d+|[A-Za-z])[.])\s+")
+_CHUNK = re.compile(r"chunk-([0-9]+)\Z")
 _WORD = re.compile(r"[\w一-鿿]+")
 
 
@@ -79,7 +80,7 @@ def word_set(s: str) -> frozenset[str]:
 
 def stitch(items: list[dict]) -> list[dict]:
     """Chunks with consecutive numbers of one filing and heading become one."""
-    place = lambda r: (r["rid"].split("::text::")[0], int(m.group(1)) if (m := re.search(r"::text::chunk-(\d+)$", r["rid"])) else math.inf)
+    place = lambda r: (r["rid"].split("::text::")[0], int(m.group(1)) if (m := _CHUNK.search(r["rid"])) else math.inf)
     out: list[dict] = []
     last = None
     for r in sorted(items, key=place):

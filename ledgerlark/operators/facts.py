@@ -76,7 +76,7 @@ def normalised(df: DataFrame) -> DataFrame:
     return out.withColumn("quarantined", reason)
 
 
-DEDUP_KEYS = ["qname", "period_start", "period_end", "instant", "dims_signature", "accno"]
+DEDUP_KEYS = "accno qname instant period_start period_end dims_signature".split()
 
 
 def deduplicated(facts: DataFrame, order: str) -> DataFrame:
@@ -118,7 +118,7 @@ WITH ranked AS (
 SELECT f.*, c.period_start, c.period_end, c.instant, u.measure, l.label_text AS best_label, l.role AS best_role
 FROM facts_of f
 LEFT JOIN contexts_of c ON f.filing_id = c.filing_id AND f.context_id = c.context_id
-LEFT JOIN units_of u ON f.filing_id = u.filing_id AND f.unit_id = u.unit_id
+LEFT JOIN units_of u ON u.unit_id = f.unit_id AND u.filing_id = f.filing_id
 LEFT JOIN ranked l ON f.filing_id = l.filing_id AND f.qname = l.qname AND l.rn = 1
 """
 

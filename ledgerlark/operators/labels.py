@@ -9,11 +9,11 @@ from ..functions.text import lang_tag, role_name, search_tokens
 from .aggregates import pivot_least
 
 #: Role orders of the two stages; they differ on purpose.
-PARSE_ROLES = ("terse", "standard", "total", "verbose", "documentation")
-CLEAN_ROLES = ("standard", "terse", "total", "documentation", "verbose")
+PARSE_ROLES = tuple("terse standard total verbose documentation".split())
+CLEAN_ROLES = tuple("standard terse total documentation verbose".split())
 PARSE_LANGS = ("en", "en-US")
 CLEAN_LANGS = ("en-US", "en")
-KEYS = ["ticker", "fy", "form", "accno", "concept"]
+KEYS = "ticker fy form accno concept".split()
 
 
 def rank_in(column: Column, order: tuple[str, ...], unknown: int = 999, blank: int = 500) -> Column:

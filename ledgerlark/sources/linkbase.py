@@ -12,6 +12,7 @@ from ..functions.types import array_of
 from ..operators.labels import edges_of, joined_arcs
 
 _XLINK = "{http://www.w3.org/1999/xlink}"
+_LANG = "{%s/1998/namespace}lang" % "http://www.w3.org/XML"
 _ITEM = array_of(**dict.fromkeys(("kind", "label", "from", "to", "concept", "arcrole", "role", "lang", "text"), "string"), link="int", ord="double", weight="double")
 
 
@@ -44,7 +45,7 @@ def parse_linkbase(xml: str | None) -> list[dict]:
                 out.append(
                     {
                         "kind": kind, "link": n, "label": get("label"), "from": get("from"), "to": get("to"), "concept": _concept(get("href")) if kind == "locator" else None, "arcrole": get("arcrole"),
-                        "role": get("role"), "lang": e.get("{http://www.w3.org/XML/1998/namespace}lang"), "text": (" ".join("".join(e.itertext()).split()) or None) if kind == "resource" else None, "ord": _num(e.get("order")), "weight": _num(e.get("weight")),
+                        "role": get("role"), "lang": e.get(_LANG), "text": (" ".join("".join(e.itertext()).split()) or None) if kind == "resource" else None, "ord": _num(e.get("order")), "weight": _num(e.get("weight")),
                     }
                 )
     return out
@@ -75,7 +76,7 @@ def arcs(parsed: DataFrame, arcroles: list[str] | None = None) -> DataFrame:
     loc = parsed.where("kind = 'locator'").select("doc", "label", "concept")
     arc = parsed.where("kind = 'arc'").select("file", "doc", "from", "to", "arcrole", F.col("ord").alias("order"), "weight")
     out = joined_arcs(edges_of(arc, arcroles) if arcroles else arc, loc)
-    return out.select("file", "from_concept", "to_concept", "arcrole", "order", "weight").distinct()
+    return out.select(*"file from_concept to_concept arcrole order weight".split()).distinct()
 
 
 ROLES = ("standard", "terse", "verbose", "total", "documentation", "negated")

@@ -66,5 +66,5 @@ def targets(config: dict | list) -> list[dict]:
 
 
 def standard_name(ticker: Column, year: Column, form: Column, accno: Column, suffix: Column) -> Column:
-    """``US_{ticker}_{year}_{form}_{accno}.{suffix}``."""
+    """``US_`` ticker, year, form and accession number, joined by underscores, and the suffix."""
     return F.concat(F.lit("US_"), F.concat_ws("_", ticker, year.cast("string"), form, accno), F.lit("."), suffix)

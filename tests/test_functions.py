@@ -39,11 +39,11 @@ def test_units_equal_the_python_model(spark):
 
 
 def model_window(raw, terms, size=700):
-    t = (raw or "").replace("\n", " ").strip()
+    t = re.sub("\n", " ", raw or "").strip()
     if len(t) <= size:
         return t
     words = t.split()
-    hit = [w.lower().strip(".,;:()") in terms for w in words]
+    hit = [w.strip("():;,.").lower() in terms for w in words]
     best, left = -1, 0
     for p in [i for i, h in enumerate(hit) if h]:
         lo = max(0, p - 20)
