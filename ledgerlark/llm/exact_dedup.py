@@ -3,7 +3,7 @@
 Map tasks normalise each text, hash it and write one entry a row; an equal text
 met before in the same task is recorded as a reference, so a text that a third
 of all rows share travels once a task.  The driver sees only entry counts by
-hash prefix (at most ``2**max_depth`` rows) and doubles the directory until no
+hash prefix and doubles the directory until no
 bucket is over capacity.  Owner tasks each take a range of buckets, chain the
 entries of one hash and compare their bytes.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, stored, utf8
 
-_ENTRY = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("hkey", pa.int64()), ("sha", pa.string()), ("body", pa.binary())])
+_ENTRY = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("hkey", pa.int64()), ("sha", pa.string()), ("body", pa.binary()), ("size", pa.int64())])
 _OWNED = pa.schema([("rep", pa.int64()), ("cls", pa.int64()), ("chain", pa.int32())])
 
 
@@ -40,7 +40,7 @@ def entry_mapper(hash_of=xxhash.xxh64_intdigest, local_bytes: int = 24 << 20):
     def entries(batches):
         base, n, seen, held = TaskContext.get().partitionId() << 40, 0, {}, 0
         press = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in (b.slice(s, 1024) for b in batches for s in range(0, len(b), 1024)):  # few texts are held twice
             rid, rep, key, sha, body = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 raw = normalise(text)
@@ -61,7 +61,7 @@ def entry_mapper(hash_of=xxhash.xxh64_intdigest, local_bytes: int = 24 << 20):
                 key.append(_signed(hash_of(raw)))
                 sha.append(digest.hexdigest())
                 body.append(packed)
-            cols = [pa.array(rid, pa.int64()), batch.column(0), pa.array(rep, pa.int64()), pa.array(key, pa.int64()), pa.array(sha, pa.string()), pa.array(body, pa.binary())]
+            cols = [pa.array(rid, pa.int64()), batch.column(0), pa.array(rep, pa.int64()), pa.array(key, pa.int64()), pa.array(sha, pa.string()), pa.array(body, pa.binary()), pa.array([0 if b is None else len(b) + 64 for b in body], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, schema=_ENTRY)
 
     return entries
@@ -104,7 +104,7 @@ class Directory:
 def chain_owner(batches):
     """Chains of one owner task; rows come sorted by hash key."""
     key, chain = None, []
-    for batch in batches:
+    for batch in (b.slice(s, 1024) for b in batches for s in range(0, len(b), 1024)):
         rep, cls, link = [], [], []
         for k, r, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if k != key:
@@ -121,7 +121,7 @@ def chain_owner(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(cls, pa.int64()), pa.array(link, pa.int32())], schema=_OWNED)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16 << 20, max_depth: int = 14, hash_of=xxhash.xxh64_intdigest) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4 << 20, max_depth: int = 22, hash_of=xxhash.xxh64_intdigest) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``
     and the index columns ``bucket, chain``.
 
@@ -129,18 +129,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal texts the row with the largest id stays; a null id is below every
     other, and of rows that repeat an id exactly one stays.  Input columns
     other than the two named are not read.  Empty tables give empty results.
-    ``capacity`` is the bytes of compressed text in a bucket before it splits.
-    Texts whose hash collides but whose bytes differ share a chain, not a
-    group.  The directory is at most ``2**max_depth`` integers.
+    ``capacity`` is the bytes of compressed text in a bucket before it splits;
+    prefixes grow with the corpus up to ``max_depth`` bits.  Texts whose hash collides but whose bytes differ share a chain, not a
+    group.  What the driver counts and broadcasts is at most ``2**max_depth``
+    integers, and about eight for each bucket in use.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    entries = stored(rows.mapInArrow(entry_mapper(hash_of), "rid long, doc_id long, rep long, hkey long, sha string, body binary"), "exact-entries", "none")
-    cell = F.shiftrightunsigned("hkey", 64 - max_depth).cast("int")
-    load = [0] * (1 << max_depth)
-    heads = entries.where("body is not null")
-    for r in heads.groupBy(cell.alias("c")).agg(F.sum(F.length("body")).alias("n")).collect():
+    entries = stored(rows.mapInArrow(entry_mapper(hash_of), "rid long, doc_id long, rep long, hkey long, sha string, body binary, size long"), "exact-entries", "none")
+    heads = entries.where("size > 0")
+    total = heads.agg(F.sum("size").alias("n")).first()["n"] or 0
+    depth = min(max_depth, max(1, (total // capacity).bit_length()) + 3)
+    cell = F.shiftrightunsigned("hkey", 64 - depth).cast("int")
+    load = [0] * (1 << depth)
+    for r in heads.groupBy(cell.alias("c")).agg(F.sum("size").alias("n")).collect():
         load[r["c"]] = r["n"]
-    directory = Directory(load, capacity, max_depth)
+    directory = Directory(load, capacity, depth)
     spark = docs.sparkSession
     slots = F.broadcast(spark.createDataFrame(pa.table({"slot": pa.array(range(len(directory.slots)), pa.int32()), "bucket": pa.array(directory.slots, pa.int32())})))
     slot = F.shiftrightunsigned("hkey", 64 - directory.depth).cast("int") if directory.depth else F.lit(0)
