@@ -59,9 +59,11 @@ def path_priority(path: Column, words: list[str]) -> Column:
 
 
 HINTS = (
-    ("cash", "cashflow|netcash|paymentsto|paymentsfor|proceedsfrom"),
-    ("income", "revenue|netincome|earningspershare|grossprofit|operatingincome|expense|costof"),
-    ("balance", "assets|liabilities|equity|receivable|payable|inventory|goodwill|debt"),
+    ("balance", "^us-gaap:(accumulateddepreciation|goodwill|intangibleasset|inventory|propertyplantandequipment)"),
+    ("income", "earnings|eps|income|loss|profit|revenue"),
+    ("cashflow", "cash|financingactivities|investingactivities|operatingactivities"),
+    ("notes", "disclosure|note|schedule|supplemental|textblock"),
+    ("balance", "asset|equity|goodwill|inventory|liabilit|payable|receivable"),
 )
 
 

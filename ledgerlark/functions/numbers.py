@@ -70,18 +70,24 @@ def decimals(text: Column) -> Column:
     return F.when(~t.isin("INF", "INFINITY", "-INF", "+INF", "NAN", ""), t.try_cast("double").cast("int"))
 
 
-def unit_name(unit: Column, qname: Column, display: Column) -> Column:
-    """Unit family: currency code, shares, per-share, percent, or pure."""
-    u = F.lower(F.coalesce(unit, F.lit("")))
-    q = F.lower(F.coalesce(qname, F.lit("")))
-    code = F.upper(F.regexp_extract(u, r"(?:iso4217:)?\b(usd|eur|gbp|jpy|cny|cad|aud|chf|inr)\b", 1))
+def unit_family(unit: Column, qname: Column, display: Column) -> Column:
+    """``struct(unit, family)``: currency code, shares, percent, pure, or the unit
+    itself without a family.  A blank unit is percent where the display or the
+    concept says so, else null."""
+    u = F.trim(F.coalesce(unit, F.lit("")))
+    code = F.regexp_extract(u, r"(?:iso4217[:])?([A-Z][A-Z][A-Z])(?:[^A-Z]|\b)", 1)
+    marked = F.coalesce(display, F.lit("")).contains("%")
+    told = marked | F.lower(F.coalesce(qname, F.lit(""))).contains("percent")
+    pair = lambda a, b: F.struct((F.lit(a) if isinstance(a, str) else a).alias("unit"), F.lit(b).cast("string").alias("family"))
+    none = F.lit(None).cast("string")
     return (
-        F.when(u.contains("share") & (code != ""), F.concat(code, F.lit("/share")))
-        .when(u.contains("share"), "shares")
-        .when(code != "", code)
-        .when(F.coalesce(display, F.lit("")).contains("%") | q.rlike("percent|ratetio|rate$"), "percent")
-        .when(u.rlike("pure|^$"), "pure")
-        .otherwise(u)
+        F.when((u == "") & told, pair("%", "percent"))
+        .when(u == "", pair(none, None))
+        .when(code != "", pair(code, "currency"))
+        .when(u.rlike(r"(?i)\bshares?\b"), pair("shares", "shares"))
+        .when(u.rlike(r"(?i)\bpercent\b") | (u.rlike(r"(?i)\bpure\b") & marked), pair("%", "percent"))
+        .when(u.rlike(r"(?i)\bpure\b"), pair("pure", "pure"))
+        .otherwise(pair(u, None))
     )
 
 

@@ -42,10 +42,21 @@ def fiscal_quarter(start: Column, end: Column, instant: Column, year_end: Column
     return F.when(month.isNull(), calendar_quarter(start, end, instant)).otherwise(fiscal)
 
 
-def period_label(start: Column, end: Column, instant: Column, arrow: str = "→") -> Column:
-    """``start → end``, or the instant alone; ``arrow`` is an em dash in labels."""
-    s, e, i = (F.date_format(day(c), "yyyy-MM-dd") for c in (start, end, instant))
-    return F.coalesce(i, F.when(s.isNotNull() & e.isNotNull(), F.concat(s, F.lit(f" {arrow} "), e)), e, s)
+def period_label(start: Column, end: Column, instant: Column, fy: Column | None = None) -> Column:
+    """``FY2023 instant d`` or ``FY2023 a→b``; the year is left out if unknown and
+    a missing bound is ``?``.  Null without any date."""
+    year = F.coalesce(F.concat(F.lit("FY"), fy.cast("string"), F.lit(" ")), F.lit("")) if fy is not None else F.lit("")
+    at = F.nullif(instant, F.lit(""))
+    a, b = F.nullif(start, F.lit("")), F.nullif(end, F.lit(""))
+    span = F.concat(year, F.coalesce(a, F.lit("?")), F.lit("→"), F.coalesce(b, F.lit("?")))
+    return F.when(at.isNotNull(), F.concat(year, F.lit("instant "), at)).when(a.isNotNull() | b.isNotNull(), span)
+
+
+def parsed_period_label(start: Column, end: Column, instant: Column, fy: Column) -> Column:
+    """The parse stage's spelling: ``FY?`` for an unknown year, a dash between bounds."""
+    year = F.concat(F.lit("FY"), F.coalesce(fy.cast("string"), F.lit("?")))
+    span = F.concat(year, F.lit(" "), F.coalesce(start, F.lit("?")), F.lit(" — "), F.coalesce(end, F.lit("?")))
+    return F.when(instant.isNotNull(), F.concat(year, F.lit(" instant "), instant)).when(start.isNotNull() | end.isNotNull(), span)
 
 
 def compact_day(value: Column) -> Column:
@@ -59,9 +70,9 @@ def in_year(value: Column, year: int) -> Column:
 
 
 def header_weight(header: Column) -> Column:
-    """Order of table period columns: year * 10 + quarter, with a bonus for
-    ``current`` (3000) and ``prior`` (1000) wording; 0 without a year."""
-    low = F.lower(F.coalesce(header, F.lit("")))
-    year = F.coalesce(F.nullif(F.regexp_extract(low, "((?:19|20)[0-9]{2})", 1), F.lit("")).cast("int"), F.lit(0))
-    quarter = F.coalesce(F.nullif(F.regexp_extract(low, "q([1-4])", 1), F.lit("")).cast("int"), F.lit(0))
-    return year * 10 + quarter + F.when(low.contains("current"), 3000).when(low.rlike("prior|previous"), 1000).otherwise(0)
+    """Order of table period columns: year * 10 + quarter, plus 3000 for
+    ``current`` without a year or 1000 for ``prior`` wording."""
+    up = F.upper(F.coalesce(header, F.lit("")))
+    year = F.coalesce(F.nullif(F.regexp_extract(up, "((?:20|19)[0-9]{2})", 1), F.lit("")).cast("int"), F.lit(0))
+    quarter = F.coalesce(F.nullif(F.regexp_extract(up, "Q([1-4])", 1), F.lit("")).cast("int"), F.lit(0))
+    return year * 10 + quarter + F.when(up.contains("CURRENT") & (year == 0), 3000).when(up.rlike("PRIOR|PREVIOUS"), 1000).otherwise(0)

@@ -56,25 +56,35 @@ def share(condition: Column) -> Column:
     return F.round(100.0 * F.count_if(condition) / F.greatest(F.count(F.lit(1)), F.lit(1)), 2)
 
 
-def quality(df: DataFrame, file: str, required: list[str], keys: list[str], year: str, number: str) -> DataFrame:
-    """Quality of each file: presence 0.15, non-null 0.35, integral year 0.10,
-    clean number 0.40, less a duplicate penalty of at most 20 points.
+def quality(df: DataFrame, file: str, required: list[str], keys: list[str], year: str, clean: str, raw: tuple[str, ...] = ()) -> DataFrame:
+    """Quality of each file: presence of columns 0.15, mean non-null rate 0.35,
+    integral year 0.10, clean numbers among rows that look numeric 0.40, less a
+    fifth of the duplicate rate (10 points at most); between 0 and 100.
 
-    One pass: duplicates are rows beyond the distinct keys, nulls equal.
+    A row looks numeric where one of ``raw`` parses (without commas and percent
+    signs).  One pass: duplicates are rows beyond the distinct keys, nulls equal.
     """
     have = [c for c in required if c in df.columns]
-    presence = 100.0 * len(have) / max(len(required), 1)
-    filled = sum((F.count(c) for c in have), F.lit(0)) * 100.0 / F.greatest(F.count(F.lit(1)) * max(len(have), 1), F.lit(1))
+    presence = round(100.0 * len(have) / max(len(required), 1), 2)
+    n = F.count(F.lit(1))
+    rate = lambda part, whole: F.when(whole > 0, F.round(100.0 * part / whole, 2)).otherwise(0.0)
+    filled = sum((rate(F.count(c), n) for c in have), F.lit(0.0)) / max(len(have), 1)
+    looks = F.lit(False)
+    for c in raw or (clean,):
+        looks = looks | F.regexp_replace(F.col(c).cast("string"), "[,%]", "").try_cast("double").isNotNull()
+    looks = F.coalesce(looks, F.lit(False))
+    fine = F.coalesce(F.abs(F.col(clean).cast("string").try_cast("double")) < float("inf"), F.lit(False))
     distinct = F.count_distinct(F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(k) for k in keys]))
     got = df.groupBy(file).agg(
-        F.count(F.lit(1)).alias("n_rows"),
+        n.alias("n_rows"),
         F.round(filled, 2).alias("nonnull_pct"),
-        share(F.col(year).cast("string").try_cast("int").isNotNull()).alias("year_pct"),
-        share(F.col(number).isNotNull() & ~F.isnan(F.col(number).cast("double"))).alias("number_pct"),
-        F.round(100.0 * (F.count(F.lit(1)) - distinct) / F.greatest(F.count(F.lit(1)), F.lit(1)), 2).alias("duplicate_pct"),
+        rate(F.count_if(F.col(year).cast("string").try_cast("double").isNotNull()), n).alias("year_pct"),
+        rate(F.count_if(looks & fine), F.greatest(F.count_if(looks), F.lit(1))).alias("number_pct"),
+        rate(n - distinct, n).alias("duplicate_pct"),
     )
     base = 0.15 * presence + 0.35 * F.col("nonnull_pct") + 0.10 * F.col("year_pct") + 0.40 * F.col("number_pct")
-    return got.withColumn("presence_pct", F.lit(presence)).withColumn("score", F.round(F.greatest(F.lit(0.0), base - F.least(F.lit(20.0), F.col("duplicate_pct"))), 2))
+    score = base - F.least(F.lit(10.0), 0.2 * F.col("duplicate_pct"))
+    return got.withColumn("presence_pct", F.lit(presence)).withColumn("score", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 2))
 
 
 def weighted(df: DataFrame, columns: list[str], weight: str = "n_rows") -> DataFrame:

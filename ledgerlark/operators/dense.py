@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import minmax
+from .aggregates import minmax, zscore
 from .bm25 import _ranked
 
 
@@ -56,14 +56,19 @@ def search_many(vectors: DataFrame, queries: DataFrame, topk: int, rid: str = "r
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "rid"))).where(F.col("rank") <= topk)
 
 
-def fused(df: DataFrame, first: str, second: str, ce: str | None = None, mode: str = "linear", alpha: float = 0.5) -> DataFrame:
-    """Blend score columns after min-max; ``linear`` or ``product``."""
-    out = minmax(minmax(df, first, "_a", constant=0.5), second, "_b", constant=0.5)
-    mix = F.col("_a") * F.col("_b") if mode == "product" else alpha * F.col("_a") + (1 - alpha) * F.col("_b")
-    if ce:
-        out = minmax(out, ce, "_c", constant=0.5)
-        mix = (mix + F.col("_c")) / 2
-    return out.withColumn("fused", mix).drop("_a", "_b", "_c")
+def fused(df: DataFrame, dense: str, ce: str | None = None, mode: str = "ce", alpha: float = 1.0, norm: str = "minmax") -> DataFrame:
+    """``fused``: the scaled dense score (``dense``, or without a cross-encoder), the
+    scaled cross-encoder score (``ce``), or alpha * ce + (1 - alpha) * dense.
+
+    ``norm`` is ``minmax`` (a constant column gives one half) or ``zscore``.
+    """
+    scale = (lambda d, c, out: minmax(d, c, out, constant=0.5)) if norm == "minmax" else zscore
+    if mode == "dense" or ce is None:
+        return scale(df, dense, "fused")
+    if mode == "ce":
+        return scale(df, ce, "fused")
+    out = scale(scale(df, dense, "_d"), ce, "_c")
+    return out.withColumn("fused", alpha * F.col("_c") + (1 - alpha) * F.col("_d")).drop("_d", "_c")
 
 
 def encoder(encode: Callable[[list[str]], np.ndarray], batch: int = 64):

@@ -35,11 +35,19 @@ ALIASES = {
     "instant": ("instant", "period_instant"),
 }
 
-FIXED_HINTS = (
-    ("income", r"earningspershare"),
-    ("income", r"unrealized.*accumulated|accumulated.*unrealized"),
-    ("balance", r"fairvalue.*axis|axis.*fairvalue"),
-)
+PER_SHARE = "antidilutivesecurities|basicshares|dilutedshares|earningspershare|weightedaveragenumber"
+UNREALISED = "accumulated.*unrealized.*(loss|gain)"
+BALANCE_LIKE = "assets|liabilities|cashandcashequivalents|marketablesecurities|(share|stock)holdersequity|retainedearnings|accumulatedothercomprehensiveincome|shortterm|longterm|debt|inventory|receivables|propertyplantandequipment|ppe"
+ALWAYS_BALANCE = tuple(f"us-gaap:{n}" for n in ("MarketableSecuritiesCurrent", "MarketableSecuritiesNoncurrent", "CashAndCashEquivalentsAtCarryingValue"))
+
+
+def final_hint(qname: Column, instant: Column, signature: Column) -> Column:
+    """Statement of a fact; of the rules that hold the last one counts."""
+    low, dated = F.lower(F.coalesce(qname, F.lit(""))), instant.isNotNull()
+    hint = F.when(low.rlike(PER_SHARE), "income").otherwise(ks.statement_hint(qname))
+    hint = F.when(dated & (low.rlike(UNREALISED) | F.contains(signature, F.lit("FairValueByFairValueHierarchyLevelAxis"))), "balance").otherwise(hint)
+    hint = F.when(dated & low.rlike(BALANCE_LIKE), "balance").otherwise(hint)
+    return F.when(qname.isin(list(ALWAYS_BALANCE)), "balance").otherwise(hint)
 
 
 def normalised(df: DataFrame) -> DataFrame:
@@ -54,22 +62,22 @@ def normalised(df: DataFrame) -> DataFrame:
     value = F.coalesce(*number, nu.resolved_value(c["value_raw"], c["value_display"]))
     percent = nu.is_percent(c["unit"], c["qname"], c["value_display"])
     block = is_text_block(c["qname"])
-    low = F.lower(F.coalesce(c["qname"], F.lit("")))
-    hint = ks.statement_hint(c["qname"])
-    for name, pattern in FIXED_HINTS:
-        hint = F.when(low.rlike(pattern), name).otherwise(hint)
-    hint = F.when(c["instant"].isNotNull() & (hint == "other"), "balance").otherwise(hint)
     dims = ks.dims_of(F.col("dimensions_json")) if "dimensions_json" in df.columns else (F.col("dimensions") if "dimensions" in df.columns else ks.dims_of(F.lit(None).cast("string")))
+    # Three balances are kept without dimensions.
+    sig = F.when(~F.coalesce(c["qname"].isin(list(ALWAYS_BALANCE)), F.lit(False)), ks.dims_signature(dims))
+    unit = nu.unit_family(c["unit"], c["qname"], c["value_display"])
+    year = F.coalesce(pe.fiscal_year(c["period_start"], c["period_end"], c["instant"]), c["fy"].try_cast("int"))
     out = df.select(
         *[e.alias(k) for k, e in c.items() if k not in ("unit", "fy")],
-        F.when(~block, nu.unit_name(c["unit"], c["qname"], c["value_display"])).alias("unit"),
-        F.coalesce(pe.fiscal_year(c["period_start"], c["period_end"], c["instant"]), c["fy"].try_cast("int")).alias("fy"),
+        F.when(~block, unit["unit"]).alias("unit"),
+        F.when(~block, unit["family"]).alias("unit_family"),
+        year.alias("fy"),
         pe.calendar_quarter(c["period_start"], c["period_end"], c["instant"]).alias("fq"),
-        pe.period_label(c["period_start"], c["period_end"], c["instant"]).alias("period_label"),
+        pe.period_label(c["period_start"], c["period_end"], c["instant"], year).alias("period_label"),
         F.when(percent, value / 100).otherwise(value).alias("value_num"),
         F.when(~block, nu.decimals(_maybe(df, "decimals"))).alias("decimals"),
-        ks.dims_signature(dims).alias("dims_signature"),
-        hint.alias("statement_hint"),
+        sig.alias("dims_signature"),
+        final_hint(c["qname"], c["instant"], sig).alias("statement_hint"),
         block.alias("is_text_block"),
     )
     reason = F.when(F.col("qname").isNull() | ~F.col("qname").contains(":"), "qname").when(F.col("value_num").isNull() & ~F.col("is_text_block"), "value")
@@ -146,5 +154,5 @@ def fact_records(spark, facts: DataFrame, contexts: DataFrame, units: DataFrame,
 
 def fact_segments(records: DataFrame) -> DataFrame:
     """One display line a fact and one document a filing, in order of concept."""
-    line = F.concat_ws(" | ", "best_label", "qname", F.col("value_raw"), "measure", pe.period_label(F.col("period_start"), F.col("period_end"), F.col("instant"), "—"))
+    line = F.concat_ws(" | ", "best_label", "qname", F.col("value_raw"), "measure", pe.period_label(F.col("period_start"), F.col("period_end"), F.col("instant")))
     return records.withColumn("line", line).groupBy("filing_id").agg(F.count(F.lit(1)).alias("n_facts"), F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("document"))

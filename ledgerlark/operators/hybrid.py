@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import minmax
@@ -43,23 +45,34 @@ def blended(pool: DataFrame, ce_weight: float = 0.5, ce: str | None = None, topk
     return out.orderBy(F.desc("final_score"), "rid").limit(topk)
 
 
+#: (query pattern, text pattern, heading pattern) of each intent.
 INTENTS = (
-    ("risk", ("risk", "uncertaint"), 0.25),
-    ("md&a", ("liquidity", "results of operations", "outlook"), 0.20),
-    ("numeric", ("revenue", "income", "margin", "how much"), 0.15),
+    (r"\b(versus|vs|compared to|year[- ]over[- ]year|yoy)\b", r"compared to|\b20[0-9]{2}\b.*\b20[0-9]{2}\b.*\b20[0-9]{2}\b", None),
+    (r"\b(fx|foreign currency|exchange rates?)\b", r"foreign|currency|u\.s\. dollar|usd", None),
+    (r"\b(gm|gross margins?)\b", "%", "gross margin"),
+    (r"\b(research and development|r&d)\b", "research and development", "operating expenses"),
 )
 
 
-def rule_reranked(hits: DataFrame, query: str, score: str = "score", text: str = "content") -> DataFrame:
-    """Rule scores by query intent, floor -0.2, blended 0.6 to 0.3 and sorted."""
-    low, body = query.lower(), F.lower(F.coalesce(F.col(text), F.lit("")))
-    rule = F.lit(0.0)
-    for name, words, gain in INTENTS:
-        if any(w in low for w in words):
-            seen = F.lit(False)
-            for w in words:
-                seen = seen | body.contains(w)
-            tag = (F.col("section_tag") == name) if "section_tag" in hits.columns else F.lit(False)
-            rule = rule + F.when(F.coalesce(seen | tag, F.lit(False)), gain).otherwise(-0.1)
-    hits = minmax(hits, score, "_base", constant=0.0).withColumn("rule_score", F.greatest(rule, F.lit(-0.2)))
-    return hits.withColumn("final_score", 0.6 * F.col("_base") + 0.3 * F.col("rule_score")).drop("_base").orderBy(F.desc("final_score"), "rid")
+def rule_score(query: str, text: Column, heading: Column, concepts: Column | None = None, main_labels: Column | None = None) -> Column:
+    """Intent boosts of 0.08, 0.15 for annotated concepts and 0.05 where the heading
+    holds one's label, -0.15 for cover matter; -0.2 at least."""
+    low, head = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(heading, F.lit("")))
+    rule = F.when(head.rlike("cover|index|signature|table of contents"), -0.15).otherwise(0.0)
+    for asked, body, title in INTENTS:
+        if re.search(asked, query.lower()):
+            met = low.rlike(f"(?s){body}")
+            rule = rule + F.when(met | head.contains(title) if title else met, 0.08).otherwise(0.0)
+    if concepts is not None:
+        rule = rule + F.when(F.size(concepts) > 0, 0.15).otherwise(0.0)
+    if main_labels is not None:
+        rule = rule + F.when(F.exists(main_labels, lambda m: F.contains(head, F.lower(m))), 0.05).otherwise(0.0)
+    return F.greatest(rule, F.lit(-0.2))
+
+
+def rule_reranked(hits: DataFrame, query: str, dense: str = "score_dense", sparse: str = "score_sparse", text: str = "content", heading: str = "heading") -> DataFrame:
+    """0.6 dense + 0.3 sparse, each scaled, plus the rule score; best first."""
+    out = minmax(minmax(hits, dense, "_d", constant=0.0), sparse, "_s", constant=0.0)
+    extra = [F.col(c) if c in hits.columns else None for c in ("concepts", "main_labels")]
+    out = out.withColumn("rule_score", rule_score(query, F.col(text), F.col(heading), *extra))
+    return out.withColumn("score", 0.6 * F.col("_d") + 0.3 * F.col("_s") + F.col("rule_score")).drop("_d", "_s").orderBy(F.desc("score"), "rid")

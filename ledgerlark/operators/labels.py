@@ -12,7 +12,7 @@ from .aggregates import pivot_least
 PARSE_ROLES = tuple("terse standard total verbose documentation".split())
 CLEAN_ROLES = tuple("standard terse total documentation verbose".split())
 PARSE_LANGS = ("en", "en-US")
-CLEAN_LANGS = ("en-US", "en")
+CLEAN_LANGS = tuple("en-US en en-GB zh nl".split())
 KEYS = "ticker fy form accno concept".split()
 
 

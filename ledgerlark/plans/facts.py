@@ -129,14 +129,14 @@ _Q = "CASE WHEN dt = close + 1 THEN 4 ELSE (((month(dt) - 9 - 1) % 12 + 12) % 12
 
 
 @query(f"""
-SELECT o_orderkey, year(dt)::INTEGER AS fy, 'Q' || quarter(dt) AS cq, 'Q' || ({_Q}) AS fq, strftime(dt, '%Y-%m-%d') AS label, strftime(dt, '%Y%m%d') AS compact
+SELECT o_orderkey, year(dt)::INTEGER AS fy, 'Q' || quarter(dt) AS cq, 'Q' || ({_Q}) AS fq, 'FY' || year(dt) || ' instant ' || strftime(dt, '%Y-%m-%d') AS label, strftime(dt, '%Y%m%d') AS compact
 FROM (SELECT o_orderkey, o_orderdate::DATE AS dt, make_date(year(o_orderdate), 9, 30) AS close FROM orders)
 """)
 def fiscal_quarter(t):
     """Calendar and year-end-shifted quarters, labels and compact dates."""
     d = F.date_format("o_orderdate", "yyyy-MM-dd")
     no = F.lit(None).cast("string")
-    return t("orders").select("o_orderkey", pe.fiscal_year(no, d, no).alias("fy"), pe.calendar_quarter(no, d, no).alias("cq"), pe.fiscal_quarter(no, d, no, F.lit("--09-30")).alias("fq"), pe.period_label(no, no, d).alias("label"), pe.compact_day(d).alias("compact"))
+    return t("orders").select("o_orderkey", pe.fiscal_year(no, d, no).alias("fy"), pe.calendar_quarter(no, d, no).alias("cq"), pe.fiscal_quarter(no, d, no, F.lit("--09-30")).alias("fq"), pe.period_label(no, no, d, pe.fiscal_year(no, no, d)).alias("label"), pe.compact_day(d).alias("compact"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1996-01-01'")
@@ -188,27 +188,27 @@ def number_features(t):
 
 
 @query("""
-SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'USD/share' WHEN 2 THEN 'shares' WHEN 3 THEN 'percent' ELSE 'pure' END AS unit,
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'x' WHEN 2 THEN 'shares' WHEN 3 THEN '%' ELSE 'pure' END AS unit, CASE event_id % 5 WHEN 0 THEN 'currency' WHEN 1 THEN NULL WHEN 2 THEN 'shares' WHEN 3 THEN 'percent' ELSE 'pure' END AS family,
 CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN -3 ELSE 2 END::INTEGER AS decimals FROM events
 """)
 def unit_norm(t):
     """Unit families and decimals."""
     e = F.col("event_id")
-    unit = F.when(e % 5 == 0, "iso4217:USD").when(e % 5 == 1, "usd per share").when(e % 5 == 2, "xbrli:shares").when(e % 5 == 3, "x").otherwise("xbrli:pure")
+    unit = F.when(e % 5 == 0, "iso4217:USD").when(e % 5 == 1, "x").when(e % 5 == 2, "xbrli:shares").when(e % 5 == 3, "").otherwise("xbrli:pure")
     shown = F.when(e % 5 == 3, "4%").otherwise("4")
-    return t("events").select("event_id", nu.unit_name(unit, F.lit("a:b"), shown).alias("unit"), nu.decimals(F.when(e % 3 == 0, "INF").when(e % 3 == 1, "-3").otherwise("2")).alias("decimals"))
+    return t("events").select("event_id", nu.unit_family(unit, F.lit("a:b"), shown)["unit"].alias("unit"), nu.unit_family(unit, F.lit("a:b"), shown)["family"].alias("family"), nu.decimals(F.when(e % 3 == 0, "INF").when(e % 3 == 1, "-3").otherwise("2")).alias("decimals"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cash' WHEN 1 THEN 'income' WHEN 2 THEN 'balance' ELSE 'other' END AS hint FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cashflow' WHEN 1 THEN 'income' WHEN 2 THEN 'balance' ELSE 'other' END AS hint FROM part")
 def statement_hints(t):
     p = F.col("p_partkey") % 4
     return t("part").select("p_partkey", ks.statement_hint(F.when(p == 0, "a:NetCashProvided").when(p == 1, "a:Revenues").when(p == 2, "a:Assets").otherwise("a:Name")).alias("hint"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 20243 WHEN 1 THEN 20230 + 3000 ELSE 20220 + 1000 END::INTEGER AS weight FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 20243 WHEN 1 THEN 3000 ELSE 20220 + 1000 END::INTEGER AS weight FROM events")
 def header_weights(t):
     e = F.col("event_id") % 3
-    return t("events").select("event_id", pe.header_weight(F.when(e == 0, "Q3 2024").when(e == 1, "2023 (current)").otherwise("Prior year 2022")).alias("weight"))
+    return t("events").select("event_id", pe.header_weight(F.when(e == 0, "Q3 2024").when(e == 1, "Current period").otherwise("Prior year 2022")).alias("weight"))
 
 
 @query("""
@@ -222,15 +222,15 @@ def fact_dedup(t):
 
 _QUALITY = """
 WITH d AS (SELECT source, lang, n_chars, CASE WHEN doc_id % 11 <> 0 THEN doc_id END AS value, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '2020' END AS fy FROM documents),
-q AS (SELECT source, count(*) AS n_rows, round((count(lang) + count(value)) * 100.0 / (count(*) * 2), 2) AS nonnull_pct, round(100.0 * count(TRY_CAST(fy AS INTEGER)) / count(*), 2) AS year_pct,
-round(100.0 * count(value) / count(*), 2) AS number_pct, round(100.0 * (count(*) - count(DISTINCT coalesce(lang, '') || '|' || n_chars)) / count(*), 2) AS duplicate_pct FROM d GROUP BY source)
+q AS (SELECT source, count(*) AS n_rows, round((round(100.0 * count(lang) / count(*), 2) + round(100.0 * count(value) / count(*), 2)) / 2, 2) AS nonnull_pct, round(100.0 * count(TRY_CAST(fy AS INTEGER)) / count(*), 2) AS year_pct,
+round(100.0 * count(value) / greatest(count(n_chars), 1), 2) AS number_pct, round(100.0 * (count(*) - count(DISTINCT coalesce(lang, '') || '|' || n_chars)) / count(*), 2) AS duplicate_pct FROM d GROUP BY source)
 """
 
 
-@query(_QUALITY + "SELECT *, 100.0 AS presence_pct, round(greatest(0, 15 + 0.35 * nonnull_pct + 0.10 * year_pct + 0.40 * number_pct - least(20, duplicate_pct)), 2) AS score FROM q")
+@query(_QUALITY + "SELECT *, 100.0::DOUBLE AS presence_pct, round(least(100, greatest(0, 15 + 0.35 * nonnull_pct + 0.10 * year_pct + 0.40 * number_pct - least(10, 0.2 * duplicate_pct))), 2) AS score FROM q")
 def quality_score(t):
     """Quality of each source in one pass."""
-    return ag.quality(_quality_rows(t), "source", ["lang", "value"], ["lang", "n_chars"], "fy", "value")
+    return ag.quality(_quality_rows(t), "source", ["lang", "value"], ["lang", "n_chars"], "fy", "value", ("n_chars",))
 
 
 def _quality_rows(t):
@@ -241,7 +241,7 @@ def _quality_rows(t):
 @query(_QUALITY + "SELECT round(sum(nonnull_pct * n_rows) / sum(n_rows), 2) AS nonnull_pct, round(sum(number_pct * n_rows) / sum(n_rows), 2) AS number_pct, sum(n_rows)::BIGINT AS n_rows FROM q")
 def weighted_avg(t):
     """Row-weighted averages of the quality figures."""
-    return ag.weighted(ag.quality(_quality_rows(t), "source", ["lang", "value"], ["lang", "n_chars"], "fy", "value"), ["nonnull_pct", "number_pct"])
+    return ag.weighted(ag.quality(_quality_rows(t), "source", ["lang", "value"], ["lang", "n_chars"], "fy", "value", ("n_chars",)), ["nonnull_pct", "number_pct"])
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

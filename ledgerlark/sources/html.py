@@ -95,6 +95,10 @@ def html_blocks(pages: pd.Series) -> pd.Series:
     return pages.map(blocks_of)
 
 
+#: The tail of a parenthesis that a line break cut off.
+FRAGMENT = r"(?i)^\W*(and|of|or)\b.+\)$"
+
+
 def text_rows(pages: DataFrame, file: str = "file", html: str = "html") -> DataFrame:
     """``file, position, text, part, item, heading, section_path`` of each page.
 
@@ -102,6 +106,7 @@ def text_rows(pages: DataFrame, file: str = "file", html: str = "html") -> DataF
     heading does not switch context; fragments below 3 characters go too.
     """
     raw = pages.select(F.col(file).alias("file"), F.posexplode(html_blocks(html)).alias("position", "b")).select("file", "position", "b.*").where(F.length("text") >= 3)
+    raw = raw.where(~((F.length("text") < 25) & F.col("text").rlike(FRAGMENT)))
     kept = first_of(raw, ["file", "text"], ["position"])
     low = F.lower("text")
     part = F.when(F.col("is_heading") & low.rlike(r"^part\s+[ivx]+\b"), F.upper(F.regexp_extract("text", r"(?i)^(part\s+[ivx]+)", 1)))
@@ -181,15 +186,27 @@ def compact_tables(long: DataFrame, look: int = 50, max_rows: int = 120) -> Data
     return values.join(names, [*keys, "row"], "left").select(*keys, "row", "account", "header", "period_rank", F.col("number").alias("value"))
 
 
-def unit_of(text) -> tuple:
-    """(unit, currency) announced in a table's surroundings."""
+CODES = "USD|EUR|GBP|JPY|CNY|RMB|AUD|CAD|CHF|HKD|NTD|SGD|TWD"
+
+
+def unit_of(text):
+    """(unit, currency) announced in a table's surroundings: a scale word, then a
+    currency code or else the first known sign."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    unit = F.when(low.contains("in thousands"), "thousands").when(low.contains("in millions"), "millions").when(low.contains("in billions"), "billions")
-    currency = F.when(low.rlike(r"us\$|\$|u\.s\. dollars|\busd\b"), "USD").when(low.rlike("€|\\beur\\b|euros"), "EUR").when(low.rlike("£|\\bgbp\\b"), "GBP").when(low.rlike("¥|\\b(rmb|cny)\\b"), "CNY")
-    return unit, currency
+    word = F.regexp_extract(low, r"\b(thousand|million|billion)s\b", 1)
+    unit = F.when(word != "", F.concat(word, F.lit("s")))
+    code = F.regexp_extract(F.upper(low), rf"\b({CODES})\b", 1)
+    sign = F.when(low.contains("$"), "USD").when(low.contains("€"), "EUR").when(low.contains("£"), "GBP").when(low.contains("¥"), "JPY").when(low.contains("￥"), "CNY")
+    return unit, F.when(code != "", code).otherwise(sign)
 
 
 def shown_header(header, unit, currency):
-    """``header (USD millions)`` of what is known."""
-    tail = F.concat_ws(" ", currency, unit)
+    """``header (USD, millions)`` of what is known."""
+    tail = F.concat_ws(", ", currency, unit)
     return F.when(tail == "", header).otherwise(F.concat(header, F.lit(" ("), tail, F.lit(")")))
+
+
+def largest_tables(long: DataFrame) -> DataFrame:
+    """``file, table``: the table with most cells of each page, the first of equals."""
+    sizes = long.groupBy("file", "table").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("file").agg(F.max_by("table", F.struct("n", (-F.col("table")).alias("first"))).alias("table"))

@@ -94,8 +94,10 @@ def test_fiscal_quarters(spark, day, fye, want):
 
 def test_periods(spark):
     no = F.lit(None).cast("string")
-    assert column(spark, ["2023-06-30", "x", None], pe.period_label(F.lit("2023-01-01"), V, no)) == ["2023-01-01 → 2023-06-30", "2023-01-01", "2023-01-01"]
-    assert column(spark, ["Q3 2024", "2023 current", "none"], pe.header_weight(V)) == [20243, 23230, 0]
+    assert column(spark, ["2023-06-30", None], pe.period_label(F.lit("2023-01-01"), V, no, F.lit(2023))) == ["FY2023 2023-01-01→2023-06-30", "FY2023 2023-01-01→?"]
+    assert column(spark, ["2023-06-30", None], pe.period_label(no, no, V)) == ["instant 2023-06-30", None]
+    assert column(spark, ["2023-06-30", None], pe.parsed_period_label(no, V, no, F.lit(None))) == ["FY? ? — 2023-06-30", None]
+    assert column(spark, ["Q3 2024", "2023 current", "Current", "prior 2022", "none"], pe.header_weight(V)) == [20243, 20230, 3000, 21220, 0]
 
 
 def test_signatures_and_ids(spark):

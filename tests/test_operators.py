@@ -85,8 +85,11 @@ def test_model_wrappers(spark):
 def test_blend_keeps_constant_encoder_scores(spark):
     pool = spark.createDataFrame([("a", 0.2, 3.0), ("b", 0.1, 3.0)], "rid string, rrf_score double, ce double")
     assert [round(r["final_score"], 6) for r in hybrid.blended(pool, 0.5, "ce").collect()] == [1.6, 1.55]
-    ranked = hybrid.rule_reranked(pool.select("rid", F.col("rrf_score").alias("score"), F.when(F.col("rid") == "b", "risk factors").alias("content")), "what risks")
-    assert ranked.first()["rid"] == "a" and ranked.where("rid = 'b'").first()["rule_score"] == 0.25
+    hits = spark.createDataFrame([("a", 0.2, 1.0, "sales", "Cover page"), ("b", 0.1, 2.0, "up 5% compared to 2022", None)], "rid string, score_dense double, score_sparse double, content string, heading string")
+    got = {r["rid"]: (round(r["rule_score"], 6), round(r["score"], 6)) for r in hybrid.rule_reranked(hits, "gross margin yoy").collect()}
+    assert got == {"a": (-0.15, 0.45), "b": (0.16, 0.46)}
+    scored = dense.fused(pool.withColumn("d", F.col("rrf_score")), "d", "ce", "mix", 0.25)
+    assert [r["fused"] for r in scored.orderBy("rid").collect()] == [0.25 * 0.5 + 0.75, 0.25 * 0.5]
 
 
 def test_evidence_selection_keeps_the_budget():

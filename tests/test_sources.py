@@ -61,7 +61,7 @@ def test_html_tables(spark):
     got = {(r["account"], r["header"]): r["value"] for r in html.compact_tables(cells).collect()}
     assert got == {("Revenue", "2023"): 2000.0, ("Revenue", "2022"): -1000.0, ("Cost", "2023"): 20.0, ("Cost", "2022"): 10.0}
     unit, cur = html.unit_of(F.lit("(in millions of US$)"))
-    assert cells.select(html.shown_header(F.lit("2023"), unit, cur).alias("h")).first()["h"] == "2023 (USD millions)"
+    assert cells.select(html.shown_header(F.lit("2023"), unit, cur).alias("h")).first()["h"] == "2023 (USD, millions)"
 
 
 LINKS = """<linkbase xmlns:x="http://www.w3.org/1999/xlink"><labelLink x:type="extended">
