@@ -82,10 +82,11 @@ def strip_html(html: Column) -> Column:
 
 
 def search_tokens(*parts: Column) -> Column:
-    """Label search tokens: camel case split, lower case, words of letters and digits."""
-    joined = F.concat_ws(" ", *parts)
-    apart = F.regexp_replace(joined, "([a-z0-9])([A-Z])", "$1 $2")
-    return F.trim(F.regexp_replace(F.lower(apart), "[^a-z0-9]+", " "))
+    """Label search tokens: lower case, other signs than ``- / %`` become blanks;
+    null where nothing is left."""
+    clean = [F.trim(F.regexp_replace(F.lower(p), r"(?U)[^\w\s/%-]+", " ")) for p in parts]
+    joined = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in clean])
+    return F.nullif(F.regexp_replace(joined, r"\s+", " "), F.lit(""))
 
 
 def title(heading: Column, ticker: Column, form: Column, fy: Column) -> Column:
@@ -193,17 +194,24 @@ def fact_line(**parts: Column) -> Column:
     return F.concat_ws(" | ", *[F.concat(F.lit(k + ": "), F.nullif(F.trim(v.cast("string")), F.lit(""))) for k, v in parts.items()])
 
 
+ROLE_NAMES = {"label": "standard", "terseLabel": "terse", "verboseLabel": "verbose", "totalLabel": "total"}
+LANG_NAMES = {"en-us": "en-US", "en-gb": "en-GB", "zh-cn": "zh"} | {k: k for k in ("en", "nl", "zh")}
+
+
+def _named(names: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), key)
+
+
 def role_name(uri: Column) -> Column:
-    """Last path part of a role URI, lower case; the plain label role is ``standard``."""
-    last = F.lower(F.regexp_extract(F.coalesce(uri, F.lit("")), r"([^/]*)$", 1))
-    names = {"label": "standard", "terselabel": "terse", "verboselabel": "verbose", "totallabel": "total", "documentation": "documentation", "periodstartlabel": "periodStart", "periodendlabel": "periodEnd", "negatedlabel": "negated"}
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[last], last)
+    """Short name of a label role: the last path part, shortened for the common
+    roles; ``standard`` where there is none."""
+    last = F.regexp_extract(F.coalesce(uri, F.lit("")), r"([^/]*)$", 1)
+    return F.when(F.coalesce(uri, F.lit("")) == "", "standard").otherwise(F.coalesce(_named(ROLE_NAMES, last), last))
 
 
 def lang_tag(lang: Column) -> Column:
-    """``en_us`` -> ``en-US``; null and blank stay null."""
-    parts = F.split(F.replace(F.trim(lang), F.lit("_"), F.lit("-")), "-")
-    return F.when(F.trim(lang) != "", F.when(F.size(parts) > 1, F.concat(F.lower(parts[0]), F.lit("-"), F.upper(parts[1]))).otherwise(F.lower(parts[0])))
+    """Known language tags in their usual spelling, others unchanged, blank null."""
+    return F.when(F.trim(lang) != "", F.coalesce(_named(LANG_NAMES, F.lower(F.trim(lang))), lang))
 
 
 def path_meta(path: Column) -> dict[str, Column]:

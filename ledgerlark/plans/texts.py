@@ -196,9 +196,9 @@ def ascii_marks(t):
     return t("documents").select("doc_id", tx.ascii_marks(F.concat(F.lit("  • a — ☒ "), F.col("source"), F.lit("  "))).alias("s"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(regexp_replace('netIncome ' || source || ' PerShare', '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS tokens FROM documents")
+@query("SELECT doc_id, 'netincome loss ' || trim(regexp_replace(lower(source), '[^a-z0-9_ /%-]+', ' ', 'g')) || ' 5% a/b-c' AS tokens FROM documents")
 def label_tokens(t):
-    return t("documents").select("doc_id", tx.search_tokens(F.lit("netIncome"), F.col("source"), F.lit("PerShare")).alias("tokens"))
+    return t("documents").select("doc_id", tx.search_tokens(F.lit("netIncome (Loss)"), F.col("source"), F.lit("  "), F.lit("5% a/b-c")).alias("tokens"))
 
 
 @query("""

@@ -118,11 +118,16 @@ def test_text_predicates(spark):
 
 def test_titles_roles_and_languages(spark):
     assert column(spark, ["Risk", None, "  "], tx.title(V, F.lit("ABC"), F.lit("10-K"), F.lit(2023))) == ["Risk [ABC 10-K FY2023]", "Untitled [ABC 10-K FY2023]", "Untitled [ABC 10-K FY2023]"]
-    assert column(spark, ["http://x/role/terseLabel", "http://x/role/label", "http://x/other"], tx.role_name(V)) == ["terse", "standard", "other"]
-    assert column(spark, ["en_us", "EN", " ", None], tx.lang_tag(V)) == ["en-US", "en", None, None]
+    assert column(spark, ["http://x/role/terseLabel", "http://x/role/label", "http://x/negatedLabel", None, "documentation"], tx.role_name(V)) == ["terse", "standard", "negatedLabel", "standard", "documentation"]
+    assert column(spark, ["en-us", "EN", "zh-CN", "fr", " ", None], tx.lang_tag(V)) == ["en-US", "en", "zh", "fr", None, None]
 
 
 def test_sentences(spark):
     got = column(spark, ["A b. C d! e。 f", "3.5 stays", None], tx.sentences(V))
     assert got == [["A b.", "C d!", "e.", "f"], ["3.5 stays"], []]
     assert re.split(r"\s", "a b") == ["a", "b"]
+
+
+def test_search_tokens(spark):
+    assert column(spark, ["Net Income (Loss), 5%", "  ", None], tx.search_tokens(V, F.lit("A/B"))) == ["net income loss 5% a/b", "a/b", "a/b"]
+    assert column(spark, ["()", None], tx.search_tokens(V)) == [None, None]
