@@ -26,11 +26,11 @@ def flattened_meta(rows: DataFrame, inner: str = "meta", keep_null_heading: bool
 
 
 def upserted(rows: DataFrame, words: list[str], rid: str = "rid", text: str = "text", path: str = "path", mtime: str = "mtime", position: str = "position") -> DataFrame:
-    """One row a record id: the best by path priority, then newest, then first.
+    """One row a record id: the best by path priority, then newest, then last.
 
     ``max_by`` combines map-side, so an id with many versions is no hot group.
     """
-    best = F.struct(path_priority(F.col(path), words).alias("priority"), F.col(mtime), (-F.col(position)).alias("earlier"))
+    best = F.struct(path_priority(F.col(path), words).alias("priority"), F.col(mtime), F.col(position))
     row = F.struct(*[F.col(c) for c in rows.columns if c != rid])
     return rows.groupBy(rid).agg(F.max_by(row, best).alias("row"), F.count_distinct(text_key(F.col(text))).alias("n_versions")).select(rid, "row.*", "n_versions")
 
@@ -38,20 +38,24 @@ def upserted(rows: DataFrame, words: list[str], rid: str = "rid", text: str = "t
 def folded(rows: DataFrame, words: list[str], rid: str = "rid") -> DataFrame:
     """The same by an ordered fold, which differs where equal texts repeat.
 
-    A repeat of the held text changes nothing, not even the time it carries;
-    another text wins on priority, then on a later time.
+    A repeat of the held text changes nothing but its source, and that only on
+    higher priority; another text wins on priority, then on a time not before
+    the held one.  ``position`` is where the text came from, ``source`` the row
+    whose path and time it carries.
     """
     scored = rows.select(F.col(rid).alias("rid"), "position", "mtime", path_priority(F.col("path"), words).alias("priority"), text_key(F.col("text")).alias("key"))
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        held = None
+        text = source = None
         for r in frame.sort_values("position").itertuples(index=False):
-            if held is None or (r.key != held.key and (r.priority, r.mtime) > (held.priority, held.mtime)):
-                held = r
-        return pd.DataFrame([{"rid": held.rid, "position": held.position, "priority": held.priority}])
+            if text is None or (r.key != text.key and (r.priority, r.mtime) >= (source.priority, source.mtime)):
+                text = source = r
+            elif r.key == text.key and r.priority > source.priority:
+                source = r
+        return pd.DataFrame([{"rid": text.rid, "position": text.position, "source": source.position, "priority": source.priority}])
 
     kind = dict(scored.dtypes)["rid"]
-    return scored.groupBy("rid").applyInPandas(fold, f"rid {kind}, position long, priority int")
+    return scored.groupBy("rid").applyInPandas(fold, f"rid {kind}, position long, source long, priority int")
 
 
 def audited(meta: DataFrame, rid: str = "rid", index: str = "chunk_index") -> DataFrame:

@@ -200,7 +200,7 @@ def jaccard_pairs(t):
 _VERSIONS = "SELECT n_chars % 97 AS rid, doc_id, text, source, doc_id * 13 % 50 AS mtime, (source LIKE '%src1%')::INT + (source LIKE '%src12%')::INT AS priority FROM documents"
 
 
-@query(f"SELECT rid, doc_id AS position, priority AS p FROM ({_VERSIONS}) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY priority DESC, mtime DESC, doc_id) = 1")
+@query(f"SELECT rid, doc_id AS position, priority AS p FROM ({_VERSIONS}) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY priority DESC, mtime DESC, doc_id DESC) = 1")
 def index_upsert_priority(t):
     """Versions of a record: path priority, then time, then order."""
     v = t("documents").select((F.col("n_chars") % 97).alias("rid"), F.col("doc_id").alias("position"), "text", F.col("source").alias("path"), (F.col("doc_id") * 13 % 50).alias("mtime"))

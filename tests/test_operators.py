@@ -59,6 +59,24 @@ def test_fold_differs_from_argmax(spark):
     assert index.upserted(df, ["q"]).first()["position"] == 1
 
 
+def test_fold_equals_the_state_machine(spark):
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice(["p", "q/p"]), rng.randint(1, 4), rng.choice("xyz")) for k in range(60) for i in range(rng.randint(1, 7))]
+    got = {r["rid"]: (r["position"], r["source"]) for r in index.folded(spark.createDataFrame(rows, "rid int, position long, path string, mtime int, text string"), ["q"]).collect()}
+    for k in range(60):
+        held = None
+        for _, i, path, mtime, text in (r for r in rows if r[0] == k):
+            prio = int("q" in path)
+            if held is None:
+                held = [text, i, i, prio, mtime]
+            elif held[0] == text:
+                if prio > held[3]:
+                    held[2:] = [i, prio, mtime]
+            elif prio > held[3] or (prio == held[3] and mtime >= held[4]):
+                held = [text, i, i, prio, mtime]
+        assert got[k] == (held[1], held[2])
+
+
 def test_bm25_empty_and_unknown_terms(spark):
     df = spark.createDataFrame([("a", "alpha beta"), ("b", None), ("c", "")], "rid string, text string")
     assert bm25.search(df, "zzz", 3).count() == 0 and bm25.search(df, "the", 3).count() == 0
