@@ -182,12 +182,12 @@ class Codec:
         self.four = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
 
     @classmethod
-    def of(cls, tokenizer: str, lexicon: str | None = None) -> Codec:
-        """The worker's codec; another lexicon replaces it."""
-        key = (tokenizer, lexicon)
+    def of(cls, tokenizer: str, lexicon: str | None = None, cache: int = 250_000) -> Codec:
+        """The worker's codec; another lexicon or cache size replaces it."""
+        key = (tokenizer, lexicon, cache)
         if key not in cls._mine:
             cls._mine.clear()
-            cls._mine[key] = cls(tokenizer, lexicon)
+            cls._mine[key] = cls(tokenizer, lexicon, cache)
         return cls._mine[key]
 
     def merge(self, words: list[str]) -> list[bytes]:

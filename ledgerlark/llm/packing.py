@@ -85,7 +85,7 @@ def cut_mapper(tokenizer: str, size: int, end_id: int):
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        codec, task, seen = Codec.of(tokenizer), TaskContext.get().partitionId(), [0] * (size + 1)
+        codec, task, seen = Codec.of(tokenizer, cache=500_000), TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for doc, raw in zip(batch.column(0).to_pylist(), codec.encode_texts(batch.column(1).to_pylist())):
