@@ -3,7 +3,7 @@
 Noisy channel: an obfuscated word is the observation of a clean one whose
 letters were replaced by look-alikes, repeated, or set apart.  Its character
 lattice is decoded by Viterbi under a character trigram model counted over all
-documents.  Words that hold nothing but single letters have a lattice of one
+documents; between characters set apart a word may end.  Words that hold nothing but single letters have a lattice of one
 path and need no decoding.  The restored words are scored by logistic
 regression over word stems, learned from labelled rows outside the held-out
 fold.
@@ -15,6 +15,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,13 @@ LOOKALIKE = {
     "8": (("b", 1.0),), "9": (("g", 1.2),), "2": (("z", 1.6),), "@": (("a", 0.8),), "$": (("s", 0.8),), "!": (("i", 1.0), ("l", 1.6)), "|": (("l", 1.0), ("i", 1.0)),
     "+": (("t", 1.2),), "(": (("c", 1.6),), "€": (("e", 1.0),), "£": (("l", 1.0),), "¡": (("i", 1.0),), "#": (("h", 2.0),), "%": (("o", 2.5),),
 }
-DROP_EDGE, DROP_INSIDE, DOUBLE, SINGLE, MASKED = 9.0, 12.0, 0.5, 1.0, 1.5
+DROP_EDGE, DROP_INSIDE, DOUBLE, SINGLE, MASKED, SPLIT = 9.0, 12.0, 0.5, 1.0, 1.5, 1.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"\W*([^\W\d_]+(?:['’,;:/?]+[^\W\d_]+)*)\W*\Z")
 _RUN3 = re.compile(r"([^\W\d_])\1\1")
 _RUN = re.compile(r"(.)\1*", re.S)
+_MARKS = "".join(chr(c) for c in range(0x2100) if not chr(c).isalnum() and chr(c) not in LOOKALIKE)
+_APART = re.compile("[" + re.escape(_MARKS.replace("*", "")) + "]+")
 _CODES = 64
 _CODE = np.array([0 if not chr(c).isalpha() else c - 96 if 97 <= c <= 122 else 27 + c % 37 for c in range(0x110000)], np.int64)
 
@@ -60,8 +63,11 @@ class CharModel:
         p3 = (tri + 5 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).astype(np.float32)
 
-    def restore(self, seen: str) -> str:
-        """Viterbi decoding of one lower-case token; states are the last two codes."""
+    def restore(self, seen: str, split: bool = False) -> str:
+        """Viterbi decoding of one lower-case token; states are the last two codes.
+
+        With ``split`` a space may follow each character, as the boundary code.
+        """
         cost = self.cost
         paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         runs = [m.group() for m in _RUN.finditer(seen)]
@@ -79,6 +85,12 @@ class CharModel:
                 options = [("", 0.0 if edge else 0.5)]
                 if ch == "*" and not edge:
                     options += [(v, MASKED) for v in "aeiou"]
+            if split and at < len(runs) - 1:
+                options += [(piece + " ", price + SPLIT) for piece, price in options if piece]
+                if ch in LOOKALIKE:
+                    options.append((" ", DROP_EDGE + SPLIT))
+            if split and ch.isalpha() and len(run) > 1:
+                options.append((f"{ch} {ch}", SPLIT + (DOUBLE if len(run) > 2 else 0.0)))
             step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (total, back) in paths.items():
                 for piece, price in options:
@@ -99,6 +111,13 @@ class CharModel:
 
     def words(self, token: str) -> list[str]:
         """Clean words of one lower-case space-delimited token."""
+        return [*(w for w in self.set_apart(parts(token)) if len(w) > 1), *self._whole(token)]
+
+    def set_apart(self, tokens: list[str]) -> list[str]:
+        """Words of the runs of single characters: as split by the lattice, and as one."""
+        return [w for run in spaced_words(tokens) for w in dict.fromkeys([*self.restore(run, True).split(), self.restore(run)]) if w]
+
+    def _whole(self, token: str) -> list[str]:
         m = _PLAIN.match(token)
         if m and not _RUN3.search(token) and not (len(token) > m.end(1) and token[m.end(1) :] in LOOKALIKE) and not (m.start(1) == 1 and token[0] in LOOKALIKE):
             return _LETTERS.findall(m.group(1))
@@ -109,16 +128,31 @@ class CharModel:
         return [got, *(w for w in plain if w != got and len(w) > 2)] if got else plain
 
 
+def parts(token: str) -> list[str]:
+    """What marks inside a token separate; nothing if there are none."""
+    return _APART.split(token) if len(token) > 4 and not token.isalnum() and _APART.search(token, 1, len(token) - 1) else []
+
+
+@lru_cache(1 << 16)
+def single(token: str) -> str:
+    """The one letter or look-alike that a token holds besides marks, or nothing."""
+    if len(token) > 1:
+        token = token.strip(_MARKS)
+        if len(token) == 2 and (token[0].isalpha() != token[1].isalpha()) and not token.isalnum():
+            token = token[0] if token[0].isalpha() else token[1]
+    return token if len(token) == 1 and (token.isalpha() or token in LOOKALIKE) else ""
+
+
 def spaced_words(tokens: list[str]) -> list[str]:
     """Runs of three or more single characters, joined: words set apart letter by letter."""
     out, run, before = [], [], -2
-    for i in [i for i, t in enumerate(tokens) if len(t) == 1 and (t.isalpha() or t in LOOKALIKE)] + [-9]:
+    for i in [i for i, t in enumerate(tokens) if len(t) < 5 and (len(t) == 1 or not t.isalnum()) and single(t)] + [-9]:
         if i == before + 1:
-            run.append(tokens[i])
+            run.append(single(tokens[i]))
         else:
             if len(run) > 2:
                 out.append("".join(run))
-            run = [tokens[i]] if i >= 0 else []
+            run = [single(tokens[i])] if i >= 0 else []
         before = i
     return out
 
@@ -188,18 +222,24 @@ class Scorer:
         if none_of(token, self.heads):
             return ()
         found = set()
-        for w in self.model.words(token):
+        for w in (*self.model.words(token), *self.starts(parts(token))):
             found.update(k for k in stems(w) if k in self.weights)
             short = _RUN.sub(r"\1", w)
             if short != w and len(short) > 3 and short + "." in self.weights:
                 found.update(k for k in stems(short) if k in self.weights)
         return tuple(found)
 
+    def starts(self, tokens: list[str]) -> list[str]:
+        """What follows each place in a run of single characters where a stem that
+        speaks for label 1 starts: its words may begin anywhere."""
+        whole = [self.model.restore(run) for run in spaced_words(tokens)]
+        return [w[i : i + STEMS[-1]] for w in whole for i in range(len(w) - STEMS[0] + 1) if any(self.weights.get(w[i : i + k], 0) > 0 for k in STEMS)]
+
     def score(self, text: str | None) -> tuple[float, int]:
         """(probability that the label is 1, distinct words that count)."""
         tokens = text.lower().split() if text else []
         mine = set(tokens)
-        mine.update(spaced_words(tokens))
+        mine.update(self.model.set_apart(tokens), self.starts(tokens))
         new = mine - self.clean
         new -= self.hot.keys()
         if new:
@@ -288,7 +328,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
                 y = int(y > 0)
                 docs_of[y] += 1
                 tokens = text.lower().split()
-                counts[y].update({*tokens, *spaced_words(tokens)})
+                counts[y].update({*tokens, *shared.value.set_apart(tokens)})
                 if len(counts[0]) + len(counts[1]) > 400_000:
                     yield flush()
         counts[0][""], counts[1][""] = docs_of
@@ -324,7 +364,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
             out: list[list] = [[], [], []]
             for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = text.lower().split()
-                mine = {*tokens, *spaced_words(tokens)}
+                mine = {*tokens, *shared.value.set_apart(tokens)}
                 if len(known) > 300_000:
                     known.clear()
                 for t in mine - known.keys():
@@ -384,10 +424,10 @@ def restore(docs: DataFrame, model: CharModel, id_col: str = "doc_id", text_col:
         out, i = [], 0
         while i < len(tokens):
             j = i
-            while j < len(tokens) and len(tokens[j]) == 1 and (tokens[j].isalpha() or tokens[j] in LOOKALIKE):
+            while j < len(tokens) and single(tokens[j]):
                 j += 1
             if j - i > 2:
-                out.append(shared.value.restore("".join(tokens[i:j])))
+                out.append(shared.value.restore("".join(map(single, tokens[i:j])), True))
                 i = j
             else:
                 out += shared.value.words(tokens[i])[:1] or [tokens[i]]

@@ -55,6 +55,15 @@ def test_scores_of_obfuscated_texts(trained):
     assert score("what a day it was")[0] < 0.5 and score(None)[0] == score("")[0] < 0.5
 
 
+def test_words_set_apart_end_where_the_lattice_says(trained):
+    score, model = trained[2].score, trained[2].model
+    assert {"stupid", "idiot"} <= set(model.set_apart("s t u p i d i d i o t".split()))
+    for text in ("such a s t u p i d thing", "he is i d i o t s t u p i d now", "you i d i o t.", "an i/d/i/o/t he is", "so s,t,u,p,i,d it is", "a/s/t/u/p/i/d thing", "i:d:i:o:t", "i'd'i'o't", "I? D? I? O? T?"):
+        assert score(text)[0] > 0.5, text
+    assert set(model.set_apart("s c u m.".split())) >= {"scum"} and "idiot" in model.words("i;d;i;o;t")
+    assert score("points a b c d e f of plan a/b/c and x, y, z")[0] < 0.5
+
+
 def test_held_out_quality(trained):
     docs, labels, scorer = trained
     out = x.toxicity(docs, labels, scorer=scorer).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
