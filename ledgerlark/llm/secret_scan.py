@@ -2,9 +2,11 @@
 
 Candidates are maximal runs of key characters.  A candidate's character class
 (hex, lower or upper letters with digits, mixed with digits, mixed with
-symbols) fixes the entropy that a window must reach.  A window's entropy comes
-from its character counts, updated as one character enters and one leaves.
-Candidates that the allow list names are left alone.
+symbols, letters only) fixes the entropy that a window must reach.  A window's
+entropy comes from its character counts, updated as one character enters and
+one leaves.  What the allow list names is cut out of a candidate and the rest is
+judged on its own; a rest made of words, as in paths, is no key unless a segment
+of it reaches the threshold of its own class.
 """
 
 from __future__ import annotations
@@ -26,25 +28,31 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: class -> bits that a window of 20 characters must reach.
-THRESHOLDS = {"hex": 3.0, "lower": 3.5, "upper": 3.5, "mixed": 3.6, "symbols": 3.8}
+THRESHOLDS = {"hex": 3.0, "lower": 3.5, "upper": 3.5, "mixed": 3.6, "symbols": 3.8, "letters": 3.6, "one_case": 4.0}
 #: Public placeholders and identifiers that look random but are no secrets.
 ALLOW = (
+    r"\AwJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY\Z",
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]",
-    r"\A[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z",
+    r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![0-9a-fA-F])",
     r"\A(.)\1*\Z",
     r"(?i)0123456789|abcdefghijkl",
-    r"\A[a-z]+(?:[-_/][a-z0-9]{1,12})+\Z",
-    r"\A/?(?:[\w.-]+/){2,}[\w.-]*\Z",
 )
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_BREAK = re.compile("[+/_=-]+")
+#: A segment that reads as a word, a name in camel case, a number or a short mark.
+_WORDY = re.compile(r"[A-Za-z]{0,3}[0-9]{0,4}|[0-9]+[A-Za-z]{0,2}|(?:[A-Z]?[a-z]{2,})+[A-Z]{0,4}[0-9]{0,4}|[A-Z]+[0-9]{0,4}")
+#: So many characters in segments that are not wordy make a run key material.
+ODD = 6
 _XLOG = [0.0] + [n * math.log2(n) for n in range(1, 4097)]
 
 
 def character_class(s: str) -> str | None:
     """The class whose threshold holds; None for runs that are no key material."""
     digit, low, up = re.search("[0-9]", s), re.search("[a-z]", s), re.search("[A-Z]", s)
-    if not digit or not (low or up):
+    if not (low or up):
         return None
+    if not digit and not re.search("[+/_=-]", s):
+        return "one_case" if not (low and up) else None if _WORDY.fullmatch(s) else "letters"
     if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
         return "hex"
     if re.search("[+/_=-]", s):
@@ -52,6 +60,11 @@ def character_class(s: str) -> str | None:
     return "mixed" if low and up else "lower" if low else "upper"
 
 
+def wordy(s: str) -> bool:
+    """True for paths and slugs: all but a few characters are in wordy segments."""
+    return sum(len(p) for p in _BREAK.split(s) if not _WORDY.fullmatch(p)) < ODD
+
+
 def hot_windows(s: str, bits: float, width: int) -> tuple[int, int] | None:
     """Hull of the windows of ``width`` characters with at least ``bits`` bits
     of Shannon entropy.  n*H = n*log n - sum c*log c, kept by two updates a step.
@@ -95,15 +108,40 @@ class Scanner:
     def entropy(self, text: str) -> list[tuple[int, int, int]]:
         found = []
         for m in _CANDIDATE.finditer(text):
-            s = m.group()
-            kind = character_class(s)
-            if kind is None or any(a.search(s) for a in self.allow):
-                continue
-            hull = hot_windows(s, self.thresholds[kind], self.width)
-            if hull:
-                found.append((m.start() + hull[0], 3, m.start() + hull[1]))
+            for a, b in self.rests(m.group()):
+                hull = self.hull(m.group()[a:b])
+                if hull:
+                    found.append((m.start() + a + hull[0], 3, m.start() + a + hull[1]))
         return found
 
+    def rests(self, s: str) -> list[tuple[int, int]]:
+        """What the allow list leaves of a candidate, where it can hold a window."""
+        cuts = sorted(m.span() for a in self.allow for m in a.finditer(s))
+        out, at = [], 0
+        for a, b in [*cuts, (len(s), len(s))]:
+            if a - at >= self.width:
+                out.append((at, a))
+            at = max(at, b)
+        return out
+
+    def hull(self, s: str) -> tuple[int, int] | None:
+        """Hull of the hot windows of ``s`` under its class and of its segments under theirs."""
+        spans = []
+        kind = character_class(s)
+        if kind and not (kind == "symbols" and wordy(s)):
+            spans.append(hot_windows(s, self.thresholds.get(kind, THRESHOLDS[kind]), self.width))
+        if kind == "symbols":
+            at = 0
+            for end in [*(m.start() for m in _BREAK.finditer(s)), len(s)]:
+                part = s[at:end].lstrip("+/_=-")
+                kind = character_class(part) if len(part) >= self.width else None
+                got = kind and hot_windows(part, self.thresholds.get(kind, THRESHOLDS[kind]), self.width)
+                if got:
+                    spans.append((end - len(part) + got[0], end - len(part) + got[1]))
+                at = end
+        spans = [x for x in spans if x]
+        return (min(a for a, _ in spans), max(b for _, b in spans)) if spans else None
+
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     names = list(KINDS)

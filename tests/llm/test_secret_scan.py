@@ -37,6 +37,18 @@ def test_entropy_spans_and_allow_list():
     assert sc.entropy(long)
 
 
+def test_allowed_parts_do_not_hide_keys():
+    sc, rng = s.Scanner(), random.Random(7)
+    key = "Zk3v9QpX71mLw0TtR8bYc2Nd"
+    for text in (f"hooks.slack.com/services/T024BE7LD/B19FPQ2RT/{key}", f"sample_{key}", f"your_{key}_example", "sk-live-q7x2m9k4w1-b8z3n6p5v0-h4t9r2c7", "KqZvWxTbRmYpLsNdGhJc"):
+        assert sc.entropy(text), text
+    for n in (40, 64):
+        keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) for _ in range(2000)]
+        assert sum(not sc.entropy(k) for k in keys) <= 4
+    for clean in ("/usr/share/doc/python3/examples/index2", "src/main/java/org/apache/spark/SparkContext", "a-long-title-of-a-news-article-2024-05-12", "AbstractSingletonProxyFactoryBean", "img/2024/05/12/header_image_v2", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"):
+        assert not sc.entropy(clean), clean
+
+
 def test_query_columns_and_odd_rows(odd, odd_rows, none):
     out = s.secret_scan(odd).collect()
     assert len(out) == len(odd_rows) and all(r["spans"] == "" for r in out if r["doc_id"] in (60, 61, 64))
