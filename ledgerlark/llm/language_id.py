@@ -78,8 +78,9 @@ def trigram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 class Mixture:
     """Learned languages and their log-probabilities by table slot."""
 
-    def __init__(self, langs: list[str], logp: np.ndarray):
+    def __init__(self, langs: list[str], logp: np.ndarray, seen: np.ndarray | None = None):
         self.langs, self.logp = langs, logp
+        self.seen = np.ones(len(logp), bool) if seen is None else seen
 
     @classmethod
     def fit(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Mixture:
@@ -90,17 +91,47 @@ class Mixture:
         if langs:
             col = {g: i for i, g in enumerate(langs)}
             count[got["slot"].to_numpy(), [col[g] for g in got["lang"].to_pylist()]] = got["n"].to_numpy()
-        seen = max(int((count.sum(axis=1) > 0).sum()), 1)
+        met = count.sum(axis=1) > 0
+        seen = max(int(met.sum()), 1)
         share = (count + 0.5) / (count.sum(axis=0) + 0.5 * (seen + 1))
-        return cls(langs, np.log(share).astype(np.float32))
+        return cls(langs, np.log(share).astype(np.float32), met)
 
     def predict(self, texts: list[str | None], rounds: int = 30, penalty: float = 0.5) -> tuple[list[str], list[float], list[str]]:
         """(language, its proportion, JSON proportions of the chosen set) of each text."""
+        m = len(texts)
+        pi, on = self.proportions(texts, rounds, penalty)
+        langs, score, mix = ["und"] * m, [0.0] * m, ["{}"] * m
+        best = pi.argmax(axis=1) if pi.shape[1] else []
+        for r in np.flatnonzero(on.any(axis=1)).tolist():
+            p = pi[r].tolist()
+            langs[r], score[r] = self.langs[best[r]], min(1.0, p[best[r]])
+            mix[r] = json.dumps({self.langs[j]: round(p[j], 4) for j in range(len(p)) if on[r, j]})
+        return langs, score, mix
+
+    def known(self, texts: list[str | None]) -> np.ndarray:
+        """Share of each text that is in learned languages, of which none need lead."""
+        pi, _ = self.proportions(texts, unknown=True)
+        return pi[:, : len(self.langs)].sum(axis=1)
+
+    def proportions(self, texts: list[str | None], rounds: int = 30, penalty: float = 0.5, unknown: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(proportion, whether chosen) by text and language; zeros without a letter.
+
+        With ``unknown`` a last component gives all table slots the same
+        probability, and what a language keeps for unseen slots is shared among
+        those no training row has.  For trigrams that fall anywhere no learned
+        table is likelier than the even one (Jensen), so they are unknown.
+        """
         slot, first, text = word_codes(texts)
         k, m = len(self.langs), len(texts)
         if not len(first) or not k:
-            return ["und"] * m, [0.0] * m, ["{}"] * m
+            return np.zeros((m, k + unknown)), np.zeros((m, k + unknown), bool)
         like = np.add.reduceat(self.logp[slot], first, axis=0)
+        if unknown:
+            free = max(len(self.seen) - int(self.seen.sum()), 1)
+            rare = np.add.reduceat((~self.seen[slot]).astype(np.float32), first) * np.log(free)
+            even = -np.diff(np.append(first, len(slot))) * np.log(len(self.seen))
+            like = np.column_stack([like - rare[:, None], even])
+            k += 1
         like -= like.max(axis=1, keepdims=True)
         grade = np.round(np.maximum(like, -FLOOR) * GRAIN).astype(np.int64)
         key = grade @ (int(FLOOR * GRAIN) + 1) ** np.arange(k, dtype=np.int64) if k <= 12 else None
@@ -142,12 +173,9 @@ class Mixture:
             won = todo[pays]
             on[won], pi[won], ll[won] = trial[pays], pi2[pays], ll2[pays]
             todo = won[on[won].sum(axis=1) > 1]
-        langs, score, mix = ["und"] * m, [0.0] * m, ["{}"] * m
-        best = pi.argmax(axis=1)
-        for r, b, p, o in zip(rows.tolist(), best.tolist(), pi.tolist(), on.tolist()):
-            langs[r], score[r] = self.langs[b], min(1.0, p[b])
-            mix[r] = json.dumps({self.langs[j]: round(p[j], 4) for j in range(k) if o[j]})
-        return langs, score, mix
+        share, chosen = np.zeros((m, k)), np.zeros((m, k), bool)
+        share[rows], chosen[rows] = pi, on > 0
+        return share, chosen
 
 
 def predict_languages(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col: str = "text", step: int = 128) -> DataFrame:

@@ -80,3 +80,18 @@ def test_unknown_text_goes_clean_text_stays(spark, table):
     ids = rows_of(p.known_language(spark, docs.union(extra), ""))
     assert 9001 not in ids and 9002 not in ids and len(ids) == docs.count()
     assert json.dumps(p.ORACLE_SQL) == "null" and np.size(p.STAGES) == 10
+
+
+def test_unlearned_languages_go_mixed_ones_stay(spark, table):
+    docs, rng = table("documents"), np.random.default_rng(3)
+    noise = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(60))
+    greek = "\u03b7 \u03b3\u03bb\u03ce\u03c3\u03c3\u03b1 \u03c4\u03bf\u03c5 \u03ba\u03b5\u03b9\u03bc\u03ad\u03bd\u03bf\u03c5 \u03b4\u03b5\u03bd \u03b5\u03af\u03bd\u03b1\u03b9 \u03b3\u03bd\u03c9\u03c3\u03c4\u03ae " * 5
+    parts = {}
+    for r in docs.orderBy("doc_id").collect():
+        if r["lang"] and r["text"] and len(r["text"]) > 400:
+            parts.setdefault(r["lang"], r["text"][:400])
+    assert len(parts) == 4
+    rows = [(9001, noise), (9002, greek), (9003, "\u4e2d\u6587\u6587\u672c " * 30), (9004, " ".join(parts.values()))]
+    extra = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], docs.schema)
+    ids = rows_of(p.known_language(spark, docs.union(extra), ""))
+    assert set(ids) & {9001, 9002, 9003, 9004} == {9004} and len(ids) == docs.count() + 1
