@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,22 +29,50 @@ def search(vectors: DataFrame, query: list[float], topk: int = 8, rid: str = "ri
     return _ranked(scored.where("score is not null").orderBy(F.desc("score"), "rid").limit(topk), "score")
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, topk: int, rid: str = "rid", vector: str = "vector", max_queries: int = 10_000) -> DataFrame:
-    """``query_id, rid, score, rank`` for a stated set of queries by blocked products.
+def search_many(vectors: DataFrame, queries: DataFrame, topk: int, rid: str = "rid", vector: str = "vector", max_queries: int | None = None, block: int = 8192) -> DataFrame:
+    """``query_id, rid, score, rank`` for any set of queries by blocked products.
 
-    At most ``max_queries`` query vectors are sent to the tasks (checked); each
-    Arrow batch keeps its own best before the shuffle.
+    ``block`` query vectors at a time are sent to the tasks; each Arrow batch
+    keeps its own best before the shuffle, of equal scores the smaller ids.  The
+    results of more than one block are checkpointed in turn, so the driver holds
+    one block and one partition of queries.  ``max_queries``, if given, is checked.
     """
-    got = queries.select("query_id", "vector").limit(max_queries + 1).collect()
-    if len(got) > max_queries:
+    if max_queries is not None and queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries; search in parts")
-    ids = [r["query_id"] for r in got]
-    q = np.array([r["vector"] for r in got], float)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
+    # one row per distinct id, so that a repeated id is in one block only
+    kind = dict(queries.dtypes)["query_id"]
+    rows = queries.groupBy("query_id").agg(F.collect_list("vector").alias("vectors")).toLocalIterator()
+    held: list[tuple] = []
+    done: DataFrame | None = None
+    for r in rows:
+        held += [(r["query_id"], v) for v in r["vectors"]]
+        if len(held) >= block:
+            done = _settled(_search_block(vectors, held, kind, topk, rid, vector), done)
+            held = []
+    if done is None:
+        return _search_block(vectors, held, kind, topk, rid, vector)
+    return _settled(_search_block(vectors, held, kind, topk, rid, vector), done) if held else done
+
+
+def _settled(part: DataFrame, done: DataFrame | None) -> DataFrame:
+    """``part`` written to the checkpoint folder, behind what is ``done``."""
+    spark = part.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="dense-"))
+    part = part.checkpoint()
+    return part if done is None else done.union(part)
+
+
+def _search_block(vectors: DataFrame, held: list[tuple], id_kind: str, topk: int, rid: str, vector: str) -> DataFrame:
+    ids = [i for i, _ in held]
+    q = np.array([v for _, v in held], float)
+    if len(ids):
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
 
     def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f) and len(ids):
+                f = f.sort_values("rid", kind="stable", na_position="first")  # ties at the cut go to the smaller id
                 sim = np.stack(f["vector"].to_numpy()).astype(float) @ q.T
                 at = np.argsort(-sim, axis=0, kind="stable")[:topk]
                 yield pd.DataFrame({"query_id": np.tile(ids, len(at)), "rid": f["rid"].to_numpy()[at].reshape(-1), "score": np.take_along_axis(sim, at, 0).reshape(-1)})
@@ -52,7 +81,7 @@ def search_many(vectors: DataFrame, queries: DataFrame, topk: int, rid: str = "r
 
     kind = dict(vectors.select(F.col(rid).alias("rid")).dtypes)["rid"]
     part = vectors.select(F.col(rid).alias("rid"), F.col(vector).cast("array<double>").alias("vector")).where("vector is not null")
-    best = part.mapInPandas(block, f"query_id {dict(queries.dtypes)['query_id']}, rid {kind}, score double")
+    best = part.mapInPandas(block, f"query_id {id_kind}, rid {kind}, score double")
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "rid"))).where(F.col("rank") <= topk)
 
 

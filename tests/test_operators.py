@@ -84,6 +84,13 @@ def test_bm25_empty_and_unknown_terms(spark):
     assert [(r["rid"], r["rank"], r["snippet"]) for r in got] == [("a", 1, "alpha beta")]
 
 
+def test_dense_many_runs_in_blocks_and_ties_go_to_the_smaller_id(spark):
+    df = spark.createDataFrame([(9 - i, [1.0, 0.0]) for i in range(9)] + [(20, [0.0, 1.0])], "rid long, vector array<float>").coalesce(1)
+    q = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(10_001)], "query_id long, vector array<float>")
+    got = dense.search_many(df, q, 2).where("query_id in (1, 2, 9999, 10000)").orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rid"]) for r in got] == [(1, 1), (1, 2), (2, 20), (2, 1), (9999, 1), (9999, 2), (10000, 20), (10000, 1)]
+
+
 def test_dense_many_is_bounded(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "rid int, vector array<double>")
     q = df.select(F.col("rid").alias("query_id"), "vector")
