@@ -32,7 +32,7 @@ def rows():
     return docs + [(110, None), (111, ""), (112, "a" * 1000), (113, "ab" * 700), (114, "a" * 99), (115, "a" * 100), (116, docs[3][1]), (117, "b" * 3000 + "a" * 300)]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_rows": 4}, {"hot_group": 3}, {"hot_rows": 3, "hot_group": 2}, {"k": 8}])
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 4}, {"hot_group": 3}, {"hot_rows": 3, "hot_group": 2}, {"k": 8}, {"bits": 3}, {"bits": 8, "hot_group": 5}])
 def test_equals_brute_force(spark, rows, options):
     shuffled = rows[:]
     random.Random(1).shuffle(shuffled)
@@ -56,15 +56,25 @@ def test_long_texts_are_cut_into_pieces(monkeypatch, rows):
     assert np.array_equal(np.concatenate([np.arange(a, a + c) for a, c in zip(lo, n)]), np.arange(len(b) - 99))
 
 
-def test_hash_collisions_are_told_apart_by_bytes(monkeypatch):
-    monkeypatch.setattr(s, "_spans_hash", lambda p, lo, hi: np.zeros(len(lo), np.uint64))
+def test_suffix_array_is_in_byte_order():
+    rng = np.random.default_rng(2)
+    text = rng.choice(np.frombuffer(b"ab\x00\xff", np.uint8), 400)
+    starts = rng.permutation(391)
+    group, place = rng.integers(0, 3, 391), rng.permutation(391)
+    order, same = s.suffix_array(text, starts, 10, group, place)
+    key = lambda i: (group[i], text[starts[i] : starts[i] + 10].tobytes(), place[i])
+    assert order.tolist() == sorted(range(391), key=key)
+    assert same.tolist() == [False] + [key(a)[:2] == key(b)[:2] for a, b in zip(order, order[1:])]
+
+
+def test_windows_of_a_group_repeat_by_bytes():
     bodies = [b"a" * 100, b"b" * 100, b"a" * 100, b"b" * 101]
     d, q, z = s.repeated_windows(np.zeros(4, np.int64), np.arange(4), np.zeros(4, np.int64), bodies, 100)
     assert sorted(zip(d.tolist(), q.tolist(), z.tolist())) == [(2, 0, 100), (3, 0, 101)]
 
 
 def test_repeated_and_null_ids(odd, odd_rows, none):
-    order = sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0))
+    order = sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
     out = s.suffix_dedup(odd).collect()
     assert len(out) == len(odd_rows)
     want = brute([((i, r[0]), r[1]) for i, r in enumerate(order)])
