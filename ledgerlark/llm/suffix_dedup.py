@@ -306,18 +306,36 @@ def fetch_mapper(length: int, k: int):
     return run
 
 
-def suffix_array(text: np.ndarray, starts: np.ndarray, length: int, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, starts: np.ndarray, length: int, *before: np.ndarray, run: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts``, and whether each agrees with its
     predecessor in ``length`` bytes.
 
     Groups ``before[0]`` come first, then bytes to the depth of ``length``;
-    suffixes equal to that depth follow the other keys of ``before``.
+    suffixes equal to that depth follow the other keys of ``before``.  About
+    ``run`` suffixes are spelt out at a time, after a sort by their first bytes.
     """
     group, *ties = before
-    suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[starts]).view(f"S{length}").reshape(-1)
-    order = np.lexsort((*reversed(ties), suffix, group))
-    g, x = group[order], suffix[order]
-    return order, np.concatenate([[False], (g[1:] == g[:-1]) & (x[1:] == x[:-1])])
+    view = np.lib.stride_tricks.sliding_window_view(text, length)
+    head = min(length, 8)
+    word = np.zeros((len(starts), 8), np.uint8)
+    word[:, 8 - head :] = view[starts, :head]
+    word = word.view(">u8").reshape(-1).astype(np.uint64)
+    order = np.lexsort((word, group))
+    g, w = group[order], word[order]
+    new = np.flatnonzero((g[1:] != g[:-1]) | (w[1:] != w[:-1])) + 1
+    same = np.zeros(len(order), bool)
+    a = 0
+    while a < len(order):  # whole groups of equal first bytes at a time
+        at = np.searchsorted(new, a + run)
+        b = int(new[at]) if at < len(new) else len(order)
+        part = order[a:b]
+        suffix = np.ascontiguousarray(view[starts[part]]).view(f"S{length}").reshape(-1)
+        sub = np.lexsort((*(t[part] for t in reversed(ties)), suffix, group[part]))
+        order[a:b] = part = part[sub]
+        suffix = suffix[sub]
+        same[a + 1 : b] = (group[part][1:] == group[part][:-1]) & (suffix[1:] == suffix[:-1])
+        a = b
+    return order, same
 
 
 def repeated_windows(group: np.ndarray, doc: np.ndarray, start: np.ndarray, bodies: list[bytes], length: int):

@@ -56,12 +56,13 @@ def test_long_texts_are_cut_into_pieces(monkeypatch, rows):
     assert np.array_equal(np.concatenate([np.arange(a, a + c) for a, c in zip(lo, n)]), np.arange(len(b) - 99))
 
 
-def test_suffix_array_is_in_byte_order():
+@pytest.mark.parametrize("run", [1, 7, 10_000])
+def test_suffix_array_is_in_byte_order(run):
     rng = np.random.default_rng(2)
     text = rng.choice(np.frombuffer(b"ab\x00\xff", np.uint8), 400)
     starts = rng.permutation(391)
     group, place = rng.integers(0, 3, 391), rng.permutation(391)
-    order, same = s.suffix_array(text, starts, 10, group, place)
+    order, same = s.suffix_array(text, starts, 10, group, place, run=run)
     key = lambda i: (group[i], text[starts[i] : starts[i] + 10].tobytes(), place[i])
     assert order.tolist() == sorted(range(391), key=key)
     assert same.tolist() == [False] + [key(a)[:2] == key(b)[:2] for a, b in zip(order, order[1:])]
