@@ -446,7 +446,7 @@ def _compared(rows: DataFrame, requests: DataFrame, length: int, k: int, hot_gro
     spark = rows.sparkSession
     asked = requests.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "off", "h", "g")).alias("asked"))
     wins = packed(rows).join(asked, "doc").select("doc", "body", "asked").mapInArrow(fetch_mapper(length, k), _WIN_DDL)
-    wins = stored(wins, "windows", "lz4")
+    wins = stored(wins, "windows")
     _free(spark)
     sizes = wins.where("h is null").groupBy("key").count()
     crowded = stored(sizes.where(F.col("count") > hot_group).select("key"), "crowded")
