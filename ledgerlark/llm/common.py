@@ -18,12 +18,15 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def shared_root(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (a local test) a temporary folder of this
-    process is made and set as the checkpoint directory.
+    Where the session names none, a local master (a test) gets a temporary
+    folder of this process, set as the checkpoint directory; on a cluster that is
+    an error, as each machine would write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _FALLBACK:
         _FALLBACK[key] = "file://" + tempfile.mkdtemp(prefix="shared-")

@@ -1,17 +1,19 @@
 """Exact deduplication over an extendible-hash index in shared files.
 
-Map tasks normalise each text, hash it and write one entry a row; an equal text
-met before in the same task is recorded as a reference, so a text that a third
-of all rows share travels once a task.  The driver sees only entry counts by
-hash prefix and doubles the directory until no
-bucket is over capacity.  Owner tasks each take a range of buckets, chain the
-entries of one hash and compare their bytes.
+Map tasks normalise each text, hash it and write one entry a row to shared files;
+an equal text met lately in the same task is recorded as a reference, so a text
+that a third of all rows share travels about once a task.  The driver inserts
+the entries' load by hash prefix: a bucket over capacity splits on its next bit
+and the directory doubles where that bit is beyond its depth.  Owner tasks each
+take a range of keys, whole buckets of about equal load, chain the entries of
+one hash and compare their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -35,27 +37,28 @@ def _signed(h: int) -> int:
 
 
 def entry_mapper(hash_of=xxhash.xxh64_intdigest, local_bytes: int = 24 << 20):
-    """Entries of one map task; ``local_bytes`` bounds its table of seen texts."""
+    """Entries of one map task; ``local_bytes`` bounds its table of texts, from
+    which the one not met for longest goes first."""
 
     def entries(batches):
         base, n, seen, held = TaskContext.get().partitionId() << 40, 0, {}, 0
-        press = zstandard.ZstdCompressor(level=1).compress
+        press, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         for batch in (b.slice(s, 1024) for b in batches for s in range(0, len(b), 1024)):  # few texts are held twice
             rid, rep, key, sha, body = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 raw = normalise(text)
                 digest, me = hashlib.sha256(raw), base + n
                 n += 1
-                k, packed = digest.digest(), None
-                found = seen.get(k)
-                if found is None or found[1] != (packed := press(raw)):
-                    packed = packed if packed is not None else press(raw)
-                    owner = me
-                    if found is None and held < local_bytes:
-                        seen[k] = (me, packed)
-                        held += len(packed) + 200
+                k = digest.digest()
+                found = seen.pop(k, None)
+                if found and unpack(found[1]) == raw:
+                    seen[k], owner, packed = found, found[0], None
                 else:
-                    owner, packed = found[0], None
+                    owner, packed = me, press(raw)
+                    seen[k] = (me, packed)
+                    held += len(packed) + 200 - (len(found[1]) + 200 if found else 0)
+                    while held > local_bytes and len(seen) > 1:
+                        held -= len(seen.pop(next(iter(seen)))[1]) + 200
                 rid.append(me)
                 rep.append(owner)
                 key.append(_signed(hash_of(raw)))
@@ -70,47 +73,71 @@ def entry_mapper(hash_of=xxhash.xxh64_intdigest, local_bytes: int = 24 << 20):
 class Directory:
     """Extendible-hash directory over hash prefixes of ``max_depth`` bits.
 
-    ``load[c]`` is the load of prefix cell ``c``.  Buckets start as one; an
-    overfull one splits on its next bit, and the directory doubles when that
-    bit is beyond its global depth.  A bucket that is still overfull at
-    ``max_depth`` stays whole and grows a chain.
+    ``load[c]`` is the load of prefix cell ``c``; cells are inserted one after
+    the other.  Buckets start as one; an overfull one splits on its next bit, and
+    the directory doubles when that bit is beyond its depth.  A bucket that is
+    still overfull at ``max_depth`` stays whole and grows a chain.
     """
 
-    def __init__(self, load: list[int], capacity: int, max_depth: int):
-        self.max_depth, self.depth = max_depth, 0
-        total = [0]
-        for x in load:
-            total.append(total[-1] + x)
-        self.buckets: list[tuple[int, int]] = []  # (first cell, local depth)
-        todo = [(0, 0)]
-        while todo:
-            first, local = todo.pop()
-            width = 1 << (max_depth - local)
-            if total[first + width] - total[first] > capacity and local < max_depth:
-                self.depth = max(self.depth, local + 1)
-                todo += [(first + width // 2, local + 1), (first, local + 1)]
-            else:
-                self.buckets.append((first, local))
-        self.slots = [0] * (1 << self.depth)
-        for number, (first, local) in enumerate(self.buckets):
-            at = first >> (max_depth - self.depth)
-            for s in range(at, at + (1 << (self.depth - local))):
-                self.slots[s] = number
+    def __init__(self, load, capacity: int, max_depth: int):
+        self.max_depth, self.depth, self.capacity = max_depth, 0, capacity
+        self.slots = np.zeros(1, np.int64)
+        self.first, self.local, self.load = [0], [0], [0]
+        self.cells = np.zeros(1 << max_depth, np.int64)
+        for cell in np.flatnonzero(load).tolist():
+            self.insert(cell, int(load[cell]))
+        order = np.argsort(self.first)
+        self.buckets = [(self.first[b], self.local[b]) for b in order.tolist()]
+        self.loads = [self.load[b] for b in order.tolist()]
+        self.slots = np.argsort(order)[self.slots]
+
+    def insert(self, cell: int, load: int) -> None:
+        self.cells[cell] += load
+        self.load[self.slots[cell >> (self.max_depth - self.depth)]] += load
+        while True:
+            b = int(self.slots[cell >> (self.max_depth - self.depth)])
+            if self.load[b] <= self.capacity or self.local[b] == self.max_depth:
+                return
+            self.split(b)
+
+    def split(self, b: int) -> None:
+        if self.local[b] == self.depth:
+            self.slots, self.depth = np.repeat(self.slots, 2), self.depth + 1
+        self.local[b] += 1
+        half = 1 << (self.max_depth - self.local[b])
+        middle, new = self.first[b] + half, len(self.first)
+        moved = int(self.cells[middle : middle + half].sum())
+        self.first.append(middle)
+        self.local.append(self.local[b])
+        self.load.append(moved)
+        self.load[b] -= moved
+        at, wide = middle >> (self.max_depth - self.depth), 1 << (self.depth - self.local[b])
+        self.slots[at : at + wide] = new
 
     def bucket(self, cell: int) -> int:
-        return self.slots[cell >> (self.max_depth - self.depth)]
+        return int(self.slots[cell >> (self.max_depth - self.depth)])
+
+    def owners(self, tasks: int) -> np.ndarray:
+        """Task of each bucket: ranges of neighbours with about the same load."""
+        load = np.array(self.loads, np.int64)
+        middle = np.cumsum(load) - (load + 1) // 2
+        return np.minimum(tasks - 1, middle * tasks // max(int(load.sum()), 1))
 
 
 def chain_owner(batches):
-    """Chains of one owner task; rows come sorted by hash key."""
+    """Chains of one owner task; rows come sorted by hash key.
+
+    Equal compressed bytes are equal texts; others are unpacked and compared, so
+    how a worker compresses does not matter."""
     key, chain = None, []
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in (b.slice(s, 1024) for b in batches for s in range(0, len(b), 1024)):
         rep, cls, link = [], [], []
         for k, r, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if k != key:
                 key, chain = k, []
             for at, (other, owner) in enumerate(chain):
-                if other == body:
+                if other == body or unpack(other) == unpack(body):
                     break
             else:
                 at, owner = len(chain), r
@@ -121,7 +148,7 @@ def chain_owner(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(cls, pa.int64()), pa.array(link, pa.int32())], schema=_OWNED)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4 << 20, max_depth: int = 22, hash_of=xxhash.xxh64_intdigest) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4 << 20, max_depth: int = 22, hash_of=xxhash.xxh64_intdigest, local_bytes: int = 24 << 20, salts: int = 64) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``
     and the index columns ``bucket, chain``.
 
@@ -130,27 +157,40 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other, and of rows that repeat an id exactly one stays.  Input columns
     other than the two named are not read.  Empty tables give empty results.
     ``capacity`` is the bytes of compressed text in a bucket before it splits;
-    prefixes grow with the corpus up to ``max_depth`` bits.  Texts whose hash collides but whose bytes differ share a chain, not a
-    group.  What the driver counts and broadcasts is at most ``2**max_depth``
-    integers, and about eight for each bucket in use.
+    prefixes grow with the corpus up to ``max_depth`` bits.  Texts whose hash
+    collides but whose bytes differ share a chain, not a group.  A bucket that no
+    split brings below capacity is chained in ``salts`` parts first, so one text
+    that many tasks hold does not go to its owner from each.  What the driver
+    counts and broadcasts is at most ``2**max_depth`` integers, and about eight
+    for each bucket in use.
     """
+    spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    entries = stored(rows.mapInArrow(entry_mapper(hash_of), "rid long, doc_id long, rep long, hkey long, sha string, body binary, size long"), "exact-entries", "none")
+    entries = stored(rows.mapInArrow(entry_mapper(hash_of, local_bytes), "rid long, doc_id long, rep long, hkey long, sha string, body binary, size long"), "exact-entries", "none")
     heads = entries.where("size > 0")
     total = heads.agg(F.sum("size").alias("n")).first()["n"] or 0
     depth = min(max_depth, max(1, (total // capacity).bit_length()) + 3)
-    cell = F.shiftrightunsigned("hkey", 64 - depth).cast("int")
-    load = [0] * (1 << depth)
-    for r in heads.groupBy(cell.alias("c")).agg(F.sum("size").alias("n")).collect():
-        load[r["c"]] = r["n"]
+    got = heads.groupBy(F.shiftrightunsigned("hkey", 64 - depth).cast("int").alias("c")).agg(F.sum("size").alias("n")).toArrow()
+    load = np.zeros(1 << depth, np.int64)
+    load[got["c"].to_numpy()] = got["n"].to_numpy()
     directory = Directory(load, capacity, depth)
-    spark = docs.sparkSession
-    slots = F.broadcast(spark.createDataFrame(pa.table({"slot": pa.array(range(len(directory.slots)), pa.int32()), "bucket": pa.array(directory.slots, pa.int32())})))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    owner = directory.owners(parts)
+    full = np.array([n > capacity for n in directory.loads])
+    numbers = directory.slots.astype(np.int32)
+    slots = F.broadcast(spark.createDataFrame(pa.table({"slot": pa.array(range(len(numbers)), pa.int32()), "bucket": pa.array(numbers), "owner": pa.array(owner[numbers].astype(np.int32)), "full": pa.array(full[numbers])})))
     slot = F.shiftrightunsigned("hkey", 64 - directory.depth).cast("int") if directory.depth else F.lit(0)
     owned = heads.select("hkey", "rep", "body", slot.alias("slot")).join(slots, "slot")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    chained = owned.repartition(min(parts, max(len(directory.buckets), 1)), "bucket").sortWithinPartitions("hkey", "rep")
-    chains = stored(chained.select("hkey", "rep", "body").mapInArrow(chain_owner, "rep long, cls long, chain int"), "exact-index")
+    first = None
+    if full.any():
+        hot = owned.where("full").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)))
+        first = stored(hot.repartition("hkey", "salt").sortWithinPartitions("hkey", "salt", "rep").select(F.xxhash64("hkey", "salt").alias("hkey"), "rep", "body").mapInArrow(chain_owner, "rep long, cls long, chain int"), "exact-salted")
+        owned = owned.where("not full").union(owned.where("full").join(first.where("rep = cls").select("rep"), "rep", "left_semi").select(*owned.columns))
+    chained = owned.repartitionById(parts, F.col("owner")).sortWithinPartitions("hkey", "rep").select("hkey", "rep", "body")
+    chains = stored(chained.mapInArrow(chain_owner, "rep long, cls long, chain int"), "exact-index")
+    if first is not None:  # what was chained in a part takes the class of its part's first
+        inner = first.where("rep <> cls").select("rep", F.col("cls").alias("via"))
+        chains = chains.union(inner.join(chains.withColumnRenamed("rep", "via"), "via").select("rep", "cls", "chain"))
 
     small = entries.select("rid", "doc_id", "rep", "hkey", "sha")
     best = F.max(F.struct("doc_id", (-F.col("rid")).alias("neg")))
@@ -160,7 +200,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (
         small.join(decided, "rep")
         .withColumn("slot", slot)
-        .join(slots, "slot")
+        .join(slots.select("slot", "bucket"), "slot")
         .select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == -F.col("top.neg")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket", "chain")
     )
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from ledgerlark.llm import exact_dedup as x
 
 
@@ -28,8 +30,37 @@ def test_overfull_cell_stays_whole():
     assert d.depth == 2 and d.bucket(1) != d.bucket(0)
 
 
-def test_groups_nulls_and_repeated_rows(odd, odd_rows):
-    out = x.exact_dedup(odd, capacity=300, max_depth=6).collect()
+def test_directory_doubles_as_cells_come_in():
+    d = x.Directory([0] * 8, 10, 3)
+    steps = []
+    for cell in (0, 7, 1, 1, 6):
+        d.insert(cell, 6)
+        steps.append((d.depth, len(d.first)))
+    assert steps == [(0, 1), (1, 2), (3, 4), (3, 4), (3, 6)]
+    assert [d.load[d.bucket(c)] for c in (0, 1, 6, 7)] == [6, 12, 6, 6]
+
+
+def test_owners_take_ranges_of_like_load():
+    d = x.Directory([5] * 64, 5, 6)
+    owner = d.owners(4)
+    assert owner.tolist() == sorted(owner.tolist()) and {(owner == k).sum() for k in range(4)} == {16}
+    assert x.Directory([0] * 4, 5, 2).owners(3).tolist() == [0]
+
+
+def test_compression_does_not_decide(spark):
+    import pyarrow as pa
+    import zstandard
+
+    text = b"some text " * 50
+    bodies = [zstandard.ZstdCompressor(write_checksum=n).compress(text) for n in (False, True)]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 5]), pa.array([1, 2]), pa.array(bodies, pa.binary())], names=["hkey", "rep", "body"])
+    assert bodies[0] != bodies[1]
+    assert next(x.chain_owner([batch])).to_pydict() == {"rep": [1, 2], "cls": [1, 1], "chain": [0, 0]}
+
+
+@pytest.mark.parametrize("options", [{"capacity": 300, "max_depth": 6}, {"capacity": 300, "max_depth": 6, "local_bytes": 0, "salts": 3}, {"capacity": 1, "max_depth": 1, "local_bytes": 900}, {}])
+def test_groups_nulls_and_repeated_rows(odd, odd_rows, options):
+    out = x.exact_dedup(odd, **options).collect()
     groups = brute((r[0], r[1]) for r in odd_rows)
     assert len(out) == len(odd_rows)
     kept = {}
