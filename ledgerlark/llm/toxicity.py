@@ -3,10 +3,12 @@
 Noisy channel: an obfuscated word is the observation of a clean one whose
 letters were replaced by look-alikes, repeated, or set apart.  Its character
 lattice is decoded by Viterbi under a character trigram model counted over all
-documents; between characters set apart a word may end.  Words that hold nothing but single letters have a lattice of one
-path and need no decoding.  The restored words are scored by logistic
-regression over word stems, learned from labelled rows outside the held-out
-fold.
+documents.  Blanks and separators are arcs of the lattice: between single
+characters a word may end, and between fragments, one of which is no usual short
+word, a word may go on.  Words that hold nothing but single letters have a
+lattice of one path and need no decoding.  The restored words are scored by
+logistic regression over word stems, learned from labelled rows outside the
+held-out fold.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ LOOKALIKE = {
     "8": (("b", 1.0),), "9": (("g", 1.2),), "2": (("z", 1.6),), "@": (("a", 0.8),), "$": (("s", 0.8),), "!": (("i", 1.0), ("l", 1.6)), "|": (("l", 1.0), ("i", 1.0)),
     "+": (("t", 1.2),), "(": (("c", 1.6),), "€": (("e", 1.0),), "£": (("l", 1.0),), "¡": (("i", 1.0),), "#": (("h", 2.0),), "%": (("o", 2.5),),
 }
-DROP_EDGE, DROP_INSIDE, DOUBLE, SINGLE, MASKED, SPLIT = 9.0, 12.0, 0.5, 1.0, 1.5, 1.0
+DROP_EDGE, DROP_INSIDE, DOUBLE, SINGLE, MASKED, SPLIT, JOIN = 9.0, 12.0, 0.5, 1.0, 1.5, 1.0, 2.0
+#: Share of all words below which a word of up to three letters is no usual one.
+RARE = 1e-5
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"\W*([^\W\d_]+(?:['’,;:/?]+[^\W\d_]+)*)\W*\Z")
 _RUN3 = re.compile(r"([^\W\d_])\1\1")
@@ -46,34 +50,98 @@ def code_of(ch: str) -> int:
 
 
 def trigram_table(texts: list[str | None]) -> np.ndarray:
-    """Counts of folded character trigrams, flat; non-letters are the boundary."""
-    c = _CODE[np.frombuffer((" " + "  ".join((t or "").lower() for t in texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    return np.bincount((c[:-2] * _CODES + c[1:-1]) * _CODES + c[2:], minlength=_CODES**3)
+    """Counts of folded character trigrams, then of words of up to three letters,
+    flat; non-letters are the boundary.  The last cell counts all words."""
+    c = _CODE[np.frombuffer((" " + "  ".join((t or "").lower() for t in texts) + "    ").encode("utf-32-le", "surrogatepass"), np.uint32)]
+    tri = np.bincount((c[:-2] * _CODES + c[1:-1]) * _CODES + c[2:], minlength=_CODES**3)
+    at = np.flatnonzero((c[:-4] == 0) & (c[1:-3] != 0)) + 1
+    brief = at[(c[at + 1] == 0) | (c[at + 2] == 0) | (c[at + 3] == 0)]
+    second = c[brief + 1]
+    words = np.bincount((c[brief] * _CODES + second) * _CODES + np.where(second == 0, 0, c[brief + 2]), minlength=_CODES**3)
+    return np.concatenate([tri, words, [len(at)]])
 
 
 class CharModel:
     """Interpolated character trigram model over folded letters."""
 
     def __init__(self, counts: np.ndarray):
-        tri = counts.reshape(_CODES, _CODES, _CODES).astype(float)
+        tri = counts[: _CODES**3].reshape(_CODES, _CODES, _CODES).astype(float)
         tri[:, 0, 0] = 0
         bi, uni = tri.sum(axis=0), tri.sum(axis=(0, 1))
         p1 = (uni + 1) / (uni.sum() + _CODES)
         p2 = (bi + 5 * p1) / (bi.sum(axis=1, keepdims=True) + 5)
         p3 = (tri + 5 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).astype(np.float32)
+        self.usual = counts[_CODES**3 : 2 * _CODES**3] > RARE * counts[-1]
+        self.known: dict[str, bool] = {}
+        self.joined: dict[str, tuple] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}, "joined": {}}
+
+    def odd(self, token: str) -> bool:
+        """True for a token of one to three characters that is no usual word."""
+        got = self.known.get(token)
+        if got is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            word = token.strip(_MARKS) if len(token) > 1 else token
+            got = 0 < len(word) < 4 and all(ch.isalpha() or ch in LOOKALIKE for ch in word) and any(ch.isalpha() for ch in word)
+            if got and word.isalpha():
+                code = [code_of(ch) for ch in word] + [0, 0]
+                got = not self.usual[(code[0] * _CODES + code[1]) * _CODES + code[2]]
+            self.known[token] = got
+        return got
+
+    def rejoined(self, tokens: list[str], reach: int = 8) -> list[str]:
+        """Words that the lattice puts together from fragments next to each other.
+
+        A fragment has up to three characters; a run of two or more with an odd
+        one is decoded with its blanks, each of which may stay or go.  Runs of
+        single characters are left to ``set_apart``; a longer run than ``reach``
+        is decoded around each odd fragment.
+        """
+        odd = [i for i, t in enumerate(tokens) if len(t) < 6 and self.odd(t)]
+        out: list[str] = []
+        end = -1
+        for i in odd:
+            if i < end:
+                continue
+            a = b = i
+            while a > max(0, i - reach) and brief(tokens[a - 1]):
+                a -= 1
+            b = i + 1
+            while b < min(len(tokens), i + reach) and brief(tokens[b]):
+                b += 1
+            end = b
+            run = [t.strip(_MARKS) if len(t) > 1 else t for t in tokens[a:b]]
+            if b - a > 1 and any(len(t) > 1 for t in run):
+                out += self._join(" ".join(run))
+        return out
+
+    def _join(self, seen: str) -> tuple:
+        got = self.joined.get(seen)
+        if got is None:
+            if len(self.joined) > 50_000:
+                self.joined.clear()
+            before = set(seen.split(" "))
+            got = self.joined[seen] = tuple(w for w in self.restore(seen).split(" ") if len(w) > 3 and w not in before)
+        return got
 
     def restore(self, seen: str, split: bool = False) -> str:
         """Viterbi decoding of one lower-case token; states are the last two codes.
 
-        With ``split`` a space may follow each character, as the boundary code.
+        With ``split`` a space may follow each character, as the boundary code;
+        a space that is there stays or goes.
         """
         cost = self.cost
         paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         runs = [m.group() for m in _RUN.finditer(seen)]
         for at, run in enumerate(runs):
             ch, edge = run[0], at in (0, len(runs) - 1)
-            if ch.isalpha():
+            if ch == " ":
+                options = [(" ", 0.0), ("", JOIN)]
+            elif ch.isalpha():
                 options = [(ch, 0.0)] if len(run) == 1 else [(ch * 2, DOUBLE if len(run) > 2 else 0.0), (ch, SINGLE)]
             elif ch in LOOKALIKE:
                 options = [("", DROP_EDGE if edge else DROP_INSIDE)]
@@ -111,7 +179,15 @@ class CharModel:
 
     def words(self, token: str) -> list[str]:
         """Clean words of one lower-case space-delimited token."""
-        return [*(w for w in self.set_apart(parts(token)) if len(w) > 1), *self._whole(token)]
+        inner = parts(token)
+        if not inner:
+            return self._whole(token)
+        found = self.set_apart(inner) if "'" in token or "’" in token else self.apart(inner)  # an apostrophe is spelling
+        return [*(w for w in found if len(w) > 1), *self._whole(token)]
+
+    def apart(self, tokens: list[str]) -> list[str]:
+        """Words written apart: single characters, and fragments."""
+        return [*self.set_apart(tokens), *self.rejoined(tokens)]
 
     def set_apart(self, tokens: list[str]) -> list[str]:
         """Words of the runs of single characters: as split by the lattice, and as one."""
@@ -128,6 +204,13 @@ class CharModel:
         return [got, *(w for w in plain if w != got and len(w) > 2)] if got else plain
 
 
+@lru_cache(1 << 16)
+def brief(token: str) -> bool:
+    """True for one to three letters or look-alikes, besides marks."""
+    word = token.strip(_MARKS) if 1 < len(token) < 6 else token
+    return 0 < len(word) < 4 and all(ch.isalpha() or ch in LOOKALIKE for ch in word)
+
+
 def parts(token: str) -> list[str]:
     """What marks inside a token separate; nothing if there are none."""
     return _APART.split(token) if len(token) > 4 and not token.isalnum() and _APART.search(token, 1, len(token) - 1) else []
@@ -230,16 +313,16 @@ class Scorer:
         return tuple(found)
 
     def starts(self, tokens: list[str]) -> list[str]:
-        """What follows each place in a run of single characters where a stem that
-        speaks for label 1 starts: its words may begin anywhere."""
-        whole = [self.model.restore(run) for run in spaced_words(tokens)]
+        """What follows each place in a word put together from single characters or
+        fragments where a stem that speaks for label 1 starts: it may begin anywhere."""
+        whole = [*(self.model.restore(run) for run in spaced_words(tokens)), *self.model.rejoined(tokens)]
         return [w[i : i + STEMS[-1]] for w in whole for i in range(len(w) - STEMS[0] + 1) if any(self.weights.get(w[i : i + k], 0) > 0 for k in STEMS)]
 
     def score(self, text: str | None) -> tuple[float, int]:
         """(probability that the label is 1, distinct words that count)."""
         tokens = text.lower().split() if text else []
         mine = set(tokens)
-        mine.update(self.model.set_apart(tokens), self.starts(tokens))
+        mine.update(self.model.apart(tokens), self.starts(tokens))
         new = mine - self.clean
         new -= self.hot.keys()
         if new:
@@ -259,11 +342,11 @@ class Scorer:
 
 
 def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
-    """Counts over all texts: one dense table a task, summed; 64**3 cells at most."""
+    """Counts over all texts: one dense table a task, summed; 2 * 64**3 + 1 cells at most."""
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        total = np.zeros(_CODES**3, np.int64)
+        total = np.zeros(2 * _CODES**3 + 1, np.int64)
         for batch in batches:
             for s in range(0, len(batch), 64):
                 total += trigram_table(batch.column(0).slice(s, 64).to_pylist())
@@ -272,12 +355,12 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
 
     rows = pick(docs, text=text_col).select(F.col("text").cast("string")).where("text is not null")
     got = rows.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(_CODES**3, np.int64)
+    counts = np.zeros(2 * _CODES**3 + 1, np.int64)
     counts[got["slot"].to_numpy()] = got["n"].to_numpy()
     return CharModel(counts)
 
 
-def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, max_stems: int = 5_000, margin: float = 6.0, least: int = 5) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, decisive: bool = True, margin: float = 6.0, least: int = 5) -> Scorer:
     """Stem weights from at most ``max_labelled`` labelled rows, chosen by hash.
 
     Rows of the held-out fold, without a label or with a null id are not used;
@@ -287,8 +370,8 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
     twice as frequent in texts of label 1 as overall and their likelihood ratio
     beats what as many random stems would reach by ``margin`` nats; ridge
     logistic regression then weighs how many distinct words of a text share
-    each of those in ``least`` texts of label 1.  A stem that is all but certain
-    weighs enough to decide alone.  At most ``max_labelled`` rows of stem counts
+    each of those in ``least`` texts of label 1.  With ``decisive`` a stem
+    that is all but certain weighs enough to decide alone.  At most ``max_labelled`` rows of stem counts
     reach the driver.
     """
     spark = docs.sparkSession
@@ -308,7 +391,8 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
     for mark in ("a", "b", "c"):  # the smallest id stays, whatever the order of rows
         singles = singles.groupBy(mark).agg(F.min_by(F.struct(*singles.columns), F.struct("doc_id", "r")).alias("s")).select("s.*")
     singles = stored(singles.select("r"), "labelled-once")
-    sample = sample.join(F.broadcast(singles), "r", "left_semi").select("text", "y", "r")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)  # few small files would give few tasks
+    sample = sample.join(F.broadcast(singles), "r", "left_semi").select("text", "y", "r").repartition(tasks, "r")
     shared = spark.sparkContext.broadcast(model)
     schema = pa.schema([("token", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
@@ -328,7 +412,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
                 y = int(y > 0)
                 docs_of[y] += 1
                 tokens = text.lower().split()
-                counts[y].update({*tokens, *shared.value.set_apart(tokens)})
+                counts[y].update({*tokens, *shared.value.apart(tokens)})
                 if len(counts[0]) + len(counts[1]) > 400_000:
                     yield flush()
         counts[0][""], counts[1][""] = docs_of
@@ -353,7 +437,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
     gain = F.col("pos") * F.log(F.col("pos") / (F.col("pos") + F.col("neg")) / rate) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (F.col("pos") + F.col("neg")) / (1 - rate))).otherwise(0.0)
     tried = summed.where("pos >= 3").count()
     likely = summed.where("stem <> ''").where((F.col("pos") >= 3) & (F.col("pos") >= 2 * rate / (1 - rate) * F.col("neg"))).withColumn("gain", gain).where(F.col("gain") > math.log(max(tried, 1)) + margin)
-    names = sorted(r["stem"] for r in likely.orderBy(F.desc("gain"), "stem").limit(max_stems).select("stem").collect())
+    names = sorted(likely.select("stem").toArrow()["stem"].to_pylist())
     place = spark.sparkContext.broadcast({k: i for i, k in enumerate(names)})
 
     def hits(batches):
@@ -364,7 +448,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
             out: list[list] = [[], [], []]
             for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = text.lower().split()
-                mine = {*tokens, *shared.value.set_apart(tokens)}
+                mine = {*tokens, *shared.value.apart(tokens)}
                 if len(known) > 300_000:
                     known.clear()
                 for t in mine - known.keys():
@@ -385,7 +469,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "d
     use = seen[k]
     w, bias = fit_logistic(rows_at[use], k[use], n[use], (y > 0).astype(float), len(names))
     sure = pos / (pos + neg + 2)
-    strong = seen & (sure >= 0.9)  # one word with such a stem decides alone
+    strong = seen & (sure >= 0.9) & decisive  # one word with such a stem decides alone
     w[strong] = np.maximum(w[strong], (np.log(sure[strong] / (1 - sure[strong])) - bias) / math.log(2))
     return Scorer(model, {name: float(v) for name, v, s in zip(names, w, seen) if s and abs(v) > 1e-3}, bias)
 
@@ -395,7 +479,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     ``score`` is the probability that the label is 1; null and empty texts have
     the score of a text without toxic words.  The model sent to tasks is
-    64**3 floats and at most ``max_stems`` stems.  Null and repeated ids pass
+    64**3 floats, as many bits, and the stems that pass the test on the sample.  Null and repeated ids pass
     through; labels, language and ids are no inputs of a score.
     """
     scorer = scorer or learn(docs, labels, char_model(docs, text_col), id_col, text_col, label_col)
@@ -413,7 +497,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def restore(docs: DataFrame, model: CharModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text`` with every token replaced by its restored words, joined by spaces."""
+    """``doc_id, text`` with every token replaced by its restored words, joined by
+    spaces.  Null stays null, a text without a token is empty, a token without a
+    letter stays; ids pass through, repeated or null; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
@@ -421,16 +507,23 @@ def restore(docs: DataFrame, model: CharModel, id_col: str = "doc_id", text_col:
         if text is None:
             return None
         tokens = text.lower().split()
-        out, i = [], 0
+        out, i, model = [], 0, shared.value
         while i < len(tokens):
             j = i
             while j < len(tokens) and single(tokens[j]):
                 j += 1
             if j - i > 2:
-                out.append(shared.value.restore("".join(map(single, tokens[i:j])), True))
+                out.append(model.restore("".join(map(single, tokens[i:j])), True))
+                i = j
+                continue
+            j = i
+            while j < len(tokens) and brief(tokens[j]):
+                j += 1
+            if j - i > 1 and any(map(model.odd, tokens[i:j])):
+                out.append(model.restore(" ".join(t.strip(_MARKS) if len(t) > 1 else t for t in tokens[i:j])))
                 i = j
             else:
-                out += shared.value.words(tokens[i])[:1] or [tokens[i]]
+                out += model.words(tokens[i])[:1] or [tokens[i]]
                 i += 1
         return " ".join(out)
 
