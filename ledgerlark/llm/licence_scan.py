@@ -20,6 +20,8 @@ from .common import pick
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z\n]*([0-9(]|by |[^\n]*(19|20)[0-9][0-9])|c\) (19|20)[0-9][0-9]|all rights reserved)[^\n]*"
+#: Where terms begin, a line begins: a notice on the same line ends there.
+TERMS = r"(permission is |permission to |redistribution and |licensed under |released under |everyone is permitted |copying and distribution |this is free |boost software license |this (software|program|work|file|package|library|font) )"
 #: Spellings that count as equal, applied in order to the spaced canonical text.
 SPELLINGS = (
     (" licence", " license"), (" sublicence", " sublicense"), ("licenced", "licensed"), ("authoris", "authoriz"), ("organis", "organiz"),
@@ -42,7 +44,7 @@ NOTICES = {
 
 def canonical(text: str | None) -> str:
     """The canonical form in plain Python, for building digest tables."""
-    t = (text or "").translate(str.maketrans(UPPER, LOWER))
+    t = re.sub(TERMS, r"\n\1", (text or "").translate(str.maketrans(UPPER, LOWER)))
     t = " " + re.sub(r"[^a-z0-9]+", " ", re.sub(COPYRIGHT_LINE, "\n", t)) + " "
     for a, b in SPELLINGS:
         t = t.replace(a, b)
@@ -62,8 +64,15 @@ def text_digests() -> dict[str, str]:
     return json.loads(Path(__file__).with_name("licence_digests.json").read_text()) | notice_digests()
 
 
+def read_texts(folder: str) -> dict[str, str]:
+    """Digests of the licence texts ``<id>.txt`` in a local folder, for instance the
+    SPDX licence list's; pass the result, with the library's own, as ``texts``."""
+    return {digest(f.read_text(errors="replace")): f.stem for f in sorted(Path(folder).glob("*.txt"))}
+
+
 def canonical_column(text: Column) -> Column:
-    t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), COPYRIGHT_LINE, "\n")
+    t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), TERMS, "\n$1")
+    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
     t = F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9]+", " "), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
@@ -98,7 +107,8 @@ def oracle() -> str:
 
     def form(x: str) -> str:
         line = COPYRIGHT_LINE.replace("'", "''")
-        t = f"regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{line}', chr(10), 'g')"
+        t = f"regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{TERMS}', chr(10) || '\\1', 'g')"
+        t = f"regexp_replace({t}, '{line}', chr(10), 'g')"
         t = f"' ' || regexp_replace({t}, '[^a-z0-9]+', ' ', 'g') || ' '"
         for a, b in SPELLINGS:
             t = f"replace({t}, '{a}', '{b}')"
