@@ -28,7 +28,7 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: class -> bits that a window of 20 characters must reach.
-THRESHOLDS = {"hex": 3.0, "lower": 3.5, "upper": 3.5, "mixed": 3.6, "symbols": 3.8, "letters": 3.6, "one_case": 4.0}
+THRESHOLDS = {"hex": 3.0, "lower": 3.5, "upper": 3.4, "mixed": 3.6, "symbols": 3.8, "letters": 3.6, "one_case": 4.0}
 #: Public placeholders and identifiers that look random but are no secrets.
 ALLOW = (
     r"\AwJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY\Z",
@@ -37,7 +37,6 @@ ALLOW = (
     r"\A(.)\1*\Z",
     r"(?i)0123456789|abcdefghijkl",
 )
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _BREAK = re.compile("[+/_=-]+")
 #: A segment that reads as a word, a name in camel case, a number or a short mark.
 _WORDY = re.compile(r"[A-Za-z]{0,3}[0-9]{0,4}|[0-9]+[A-Za-z]{0,2}|(?:[A-Z]?[a-z]{2,})+[A-Z]{0,4}[0-9]{0,4}|[A-Z]+[0-9]{0,4}")
@@ -93,6 +92,7 @@ class Scanner:
             raise ValueError("width must be between 2 and 4096")
         self.thresholds, self.width = thresholds or THRESHOLDS, width
         self.allow = [re.compile(a) for a in allow]
+        self.candidate = re.compile(rf"[A-Za-z0-9+/_=-]{{{width},}}")
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind number, end) of the three fixed patterns, sorted."""
@@ -107,7 +107,7 @@ class Scanner:
 
     def entropy(self, text: str) -> list[tuple[int, int, int]]:
         found = []
-        for m in _CANDIDATE.finditer(text):
+        for m in self.candidate.finditer(text):
             for a, b in self.rests(m.group()):
                 hull = self.hull(m.group()[a:b])
                 if hull:
@@ -182,7 +182,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def redact(docs: DataFrame, text_col: str = "text", scanner: Scanner | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; rows, order and columns stay."""
+    """``docs`` with every span replaced by ``mark``; rows, order and columns stay.
+
+    Spans that overlap share one mark.  Null and empty texts stay as they are, an
+    empty table stays empty, repeated rows are treated alike; only ``text_col`` is
+    read and replaced, whatever the other columns are called.
+    """
     scanner = scanner or Scanner()
 
     @F.pandas_udf("string")
