@@ -75,6 +75,19 @@ def trigram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
+def in_parts(texts, step: int, most: int = 1 << 19):
+    """Lists of up to ``step`` texts, ended by the one that reaches ``most`` characters."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text or "")
+        if len(part) == step or held >= most:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 class Mixture:
     """Learned languages and their log-probabilities by table slot."""
 
@@ -113,6 +126,10 @@ class Mixture:
         pi, _ = self.proportions(texts, unknown=True)
         return pi[:, : len(self.langs)].sum(axis=1)
 
+    def known_in_parts(self, texts: list[str | None], step: int = 128) -> np.ndarray:
+        """``known`` of any number of texts, a bounded part at a time."""
+        return np.concatenate([np.zeros(0), *(self.known(part) for part in in_parts(texts, step))])
+
     def proportions(self, texts: list[str | None], rounds: int = 30, penalty: float = 0.5, unknown: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(proportion, whether chosen) by text and language; zeros without a letter.
 
@@ -190,14 +207,8 @@ def predict_languages(docs: DataFrame, model: Mixture, id_col: str = "doc_id", t
 
     def run(batches):
         for batch in batches:
-            texts, out = batch.column(1), [[], [], []]
-            at = 0
-            while at < len(texts):  # texts by the piece, so one batch never holds many long ones
-                part, held = [], 0
-                while at < len(texts) and len(part) < step and held < 1 << 19:
-                    part.append(texts[at].as_py())
-                    held += len(part[-1] or "")
-                    at += 1
+            out = [[], [], []]
+            for part in in_parts((t.as_py() for t in batch.column(1)), step):  # one batch never holds many long texts
                 for o, v in zip(out, shared.value.predict(part)):
                     o += v
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(o, f.type) for o, f in zip(out, list(schema)[1:])]], schema=schema)

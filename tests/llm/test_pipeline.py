@@ -95,3 +95,20 @@ def test_unlearned_languages_go_mixed_ones_stay(spark, table):
     extra = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], docs.schema)
     ids = rows_of(p.known_language(spark, docs.union(extra), ""))
     assert set(ids) & {9001, 9002, 9003, 9004} == {9004} and len(ids) == docs.count() + 1
+
+
+def test_other_columns_keep_their_names(spark):
+    """Columns named like those the stages use inside pass through, repeated ids too."""
+    rows = [(1, "The cat sat on the mat and the dog ran", "en", 5, 6), (1, "the CAT sat on the mat and the dog ran", "en", 7, 8), (2, None, None, 1, 2)] + [(i, f"plain words of a text number {'abcdefghij'[i]} here", "en", i, i) for i in range(3, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row int, row_ int")
+    out = docs
+    for _, stage in p.STAGES[:4]:
+        out = stage(spark, out, "")
+        assert out.columns == docs.columns
+    assert sorted(r["row"] for r in p.drop_exact_copies(spark, docs, "").collect() if r["doc_id"] == 1) in ([5], [7])
+
+
+def test_share_is_a_parameter(spark, table, monkeypatch):
+    docs = table("documents")
+    monkeypatch.setattr(p, "KNOWN_SHARE", 1.1)
+    assert p.known_language(spark, docs, "").count() == 0
