@@ -1,11 +1,16 @@
-"""BM25 over a DataFrame of texts; statistics follow the filtered candidates."""
+"""BM25 over a DataFrame of texts, or over a stored index of it; statistics
+follow the filtered candidates either way."""
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import best_window, tokens
+from ..session import exists, shared_folder, spread
 
 K1, B = 1.5, 0.75
 
@@ -16,7 +21,61 @@ def postings(docs: DataFrame, rid: str = "rid", text: str = "text") -> DataFrame
     Persist or write this partitioned by term to answer many queries.
     """
     t = docs.select(F.col(rid).alias("rid"), tokens(F.col(text)).alias("toks")).where(F.size("toks") > 0)
-    return t.select("rid", F.size("toks").alias("length"), F.explode("toks").alias("term")).groupBy("rid", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    each = t.select("rid", F.size("toks").alias("length"), F.explode("toks").alias("term"))
+    return each.groupBy("rid", "length", "term").agg(F.count(F.lit(1)).alias("tf")).select("rid", "term", "tf", "length")
+
+
+@dataclass
+class Index:
+    """A stored index: ``postings(term, rid, tf, length)`` in order of term, and
+    ``lengths(rid, length)`` of every document that has tokens."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    def search(self, query: str, topk: int = 8, candidates: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        """``rid, score, rank`` as ``search`` gives them; reads the query's terms only.
+
+        ``candidates(rid)`` are the documents that count, for the statistics too.
+        """
+        held, lengths = self.postings.where(F.col("term").isin(query_terms(self.postings.sparkSession, query))), self.lengths
+        if candidates is not None:
+            ids = candidates.select("rid").distinct()
+            held, lengths = held.join(ids, "rid", "left_semi"), lengths.join(ids, "rid", "left_semi")
+        whole = F.broadcast(lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))  # one row
+        idf = F.broadcast(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # a row a term of the query
+        tf, norm = F.col("tf"), k1 * (1 - b + b * (F.col("length") / (F.col("mean") + 1e-9)))
+        weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * (tf * (k1 + 1.0)) / (tf + norm + 1e-12)
+        scored = held.join(idf, "term").join(whole).groupBy("rid").agg(F.sum(weight).alias("score"))
+        return _ranked(scored.where("score > 0").orderBy(F.desc("score"), "rid").limit(topk), "score")
+
+
+def build_index(docs: DataFrame, path: str, rid: str = "rid", text: str = "text") -> Index:
+    """Write the index of ``docs``, whose ids are unique, under ``path``.
+
+    Postings are range-partitioned and sorted by term and id: a query's terms
+    prune row groups by their statistics, and a frequent term spreads over files.
+    """
+    spark = docs.sparkSession
+    p = postings(docs, rid, text).select("term", "rid", "tf", "length")
+    p.repartitionByRange("term", "rid").sortWithinPartitions("term", "rid").write.mode("overwrite").parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("rid").agg(F.first("length").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+    return load_index(spark, path)
+
+
+def load_index(spark, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+
+
+def index_of(docs: DataFrame, version: str, rid: str = "rid", text: str = "text") -> Index:
+    """The index of ``docs`` in the shared folder, built where it is not there yet.
+
+    ``version`` names the state of the documents; a build that did not end, which
+    leaves no lengths behind it, is made again.
+    """
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/bm25-{hashlib.sha1(f'{version}|{rid}|{text}'.encode()).hexdigest()[:16]}"
+    return load_index(spark, path) if exists(spark, f"{path}/lengths/_SUCCESS") else build_index(spread(docs), path, rid, text)
 
 
 def scores(docs: DataFrame, query: str, rid: str = "rid", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import numbers as nu
 from ..functions import text as tx
 from ..functions.types import STRINGS
-from .windows import fill_forward, first_of
+from .windows import carried_forward, fill_forward, first_of
 
 _BLANK, _BREAK = re.compile(r"[\t ]+"), re.compile(r"\s*\n\s*")
 _SOFT = re.compile(r"(?<=[.?!])\s+|(?=\bus-gaap:)|(?=\b(?:19|20)\d\d-\d\d-\d\d\b)", re.I)
@@ -57,7 +57,9 @@ def clean_rows(rows: DataFrame, file: str = "file", position: str = "position",
     """``file, position, part, heading, text`` and number features of each sentence.
 
     The nearest heading at or above a sentence is carried down its file; of
-    equal sentences of a file the first stays.
+    equal sentences of a file the first stays.  Sentences are filled row by row;
+    only the last heading of each row travels along its file.  ``(file,
+    position)`` names a row: of rows that share it the sentences mix.
     """
     base = rows.select(F.col(file).alias("file"), F.col(position).alias("position"), unescaped(F.col(text)).alias("text"))
     parts = base.select("file", "position", F.posexplode(F.flatten(F.transform(tx.sentences(F.col("text")), lambda s: F.array(s)))).alias("part", "text"))
@@ -65,7 +67,12 @@ def clean_rows(rows: DataFrame, file: str = "file", position: str = "position",
     kept = parts.where(~tx.is_noise(F.col("text"), retrieval_only))
     if not retrieval_only:
         kept = kept.where(tx.keep_for_retrieval(F.col("text")))
-    headed = fill_forward(kept, ["file"], ["position", "part"], {"heading": F.when(tx.is_heading(F.col("text")), F.col("text"))})
+    row = ["file", "position"]
+    kept = kept.withColumn("head", F.when(tx.is_heading(F.col("text")), F.col("text")))
+    headed = fill_forward(kept, row, ["part"], {"heading": F.col("head")}).drop("head")
+    last = kept.groupBy(*row).agg(F.max(F.when(F.col("head").isNotNull(), F.struct("part", "head")))["head"].alias("last"))
+    above = carried_forward(last, ["file"], ["position"], "last", "above").select(F.col("file").alias("f"), F.col("position").alias("p"), "above").where("above is not null")
+    headed = headed.join(above, F.col("file").eqNullSafe(F.col("f")) & F.col("position").eqNullSafe(F.col("p")), "left").withColumn("heading", F.coalesce("heading", "above")).drop("f", "p", "above")
     single = first_of(headed, ["file", "text"], ["position", "part"])
     details = single.withColumn("numbers_detail", nu.amount_details("text"))
     return details.withColumns(

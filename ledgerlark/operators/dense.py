@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .aggregates import minmax, zscore
 from .bm25 import _ranked
 
@@ -21,19 +21,21 @@ def inner_product(vector: Column, query: list[float]) -> Column:
 
 
 def search(vectors: DataFrame, query: list[float], topk: int = 8, rid: str = "rid", vector: str = "vector") -> DataFrame:
-    """``rid, score, rank`` of the nearest vectors.  Filter ``vectors`` first: the
+    """``rid, score, rank`` of the nearest vectors; scores that are null or not
+    finite do not count, equal ones go by id.  Filter ``vectors`` first: the
     search is exact, so no over-fetch is needed and no hit is lost to filters."""
     q = np.asarray(query, float)
     q = q / (np.linalg.norm(q) or 1.0)
     scored = vectors.select(F.col(rid).alias("rid"), inner_product(F.col(vector), q.tolist()).alias("score"))
-    return _ranked(scored.where("score is not null").orderBy(F.desc("score"), "rid").limit(topk), "score")
+    return _ranked(scored.where("score is not null and not isnan(score) and abs(score) < double('Infinity')").orderBy(F.desc("score"), "rid").limit(topk), "score")
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, topk: int, rid: str = "rid", vector: str = "vector", max_queries: int | None = None, block: int = 8192) -> DataFrame:
     """``query_id, rid, score, rank`` for any set of queries by blocked products.
 
-    ``block`` query vectors at a time are sent to the tasks; each Arrow batch
-    keeps its own best before the shuffle, of equal scores the smaller ids.  The
+    ``block`` query vectors at a time are sent to the tasks; each task keeps its
+    best, of equal scores the smaller ids, and multiplies 512 rows at a time.
+    Scores that are not finite do not count.  The
     results of more than one block are checkpointed in turn, so the driver holds
     one block and one partition of queries.  ``max_queries``, if given, is checked.
     """
@@ -58,7 +60,7 @@ def _settled(part: DataFrame, done: DataFrame | None) -> DataFrame:
     """``part`` written to the checkpoint folder, behind what is ``done``."""
     spark = part.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="dense-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     part = part.checkpoint()
     return part if done is None else done.union(part)
 
@@ -70,12 +72,24 @@ def _search_block(vectors: DataFrame, held: list[tuple], id_kind: str, topk: int
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
 
     def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))  # query, score, id
+        floor = np.full(len(ids), -np.inf)  # the score that the topk-th of a query has so far
         for f in frames:
-            if len(f) and len(ids):
-                f = f.sort_values("rid", kind="stable", na_position="first")  # ties at the cut go to the smaller id
-                sim = np.stack(f["vector"].to_numpy()).astype(float) @ q.T
-                at = np.argsort(-sim, axis=0, kind="stable")[:topk]
-                yield pd.DataFrame({"query_id": np.tile(ids, len(at)), "rid": f["rid"].to_numpy()[at].reshape(-1), "score": np.take_along_axis(sim, at, 0).reshape(-1)})
+            for s in range(0, len(f) if len(ids) else 0, 512):
+                part = f.iloc[s : s + 512]
+                sim = np.stack(part["vector"].to_numpy()).astype(float) @ q.T
+                sim[~np.isfinite(sim)] = -np.inf
+                cut = np.partition(sim, len(sim) - topk, axis=0)[len(sim) - topk] if len(sim) > topk else floor
+                row, col = np.nonzero((sim >= np.maximum(cut, floor)) & (sim > -np.inf))
+                best = [np.concatenate(x) for x in zip(best, (col, sim[row, col], part["rid"].to_numpy().astype(object)[row]))]
+                order = np.lexsort((pd.Series(best[2]).rank(method="dense", na_option="top").to_numpy(), -best[1], best[0]))
+                best = [x[order] for x in best]
+                first = np.searchsorted(best[0], best[0])
+                keep = np.arange(len(first)) - first < topk  # of equal scores the smaller ids
+                best = [x[keep] for x in best]
+                last = np.flatnonzero(np.arange(len(keep))[keep] - first[keep] == topk - 1)
+                floor[best[0][last]] = best[1][last]
+        yield pd.DataFrame({"query_id": np.array(ids, object)[best[0]], "rid": best[2], "score": best[1]})
 
     from pyspark.sql import Window as W
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import lang_tag, role_name, search_tokens
 from .aggregates import pivot_least
@@ -100,18 +105,51 @@ def one_hop(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     return down.unionByName(up).unionByName(side).distinct()
 
 
-def annotated(texts: DataFrame, forms: DataFrame, text: str = "text", max_forms: int = 50_000) -> DataFrame:
-    """Texts with the surface forms they hold: ``rid, concept``.
+def annotated(texts: DataFrame, forms: DataFrame, text: str = "text", block: int = 200_000) -> DataFrame:
+    """Texts with the surface forms they hold, in lower case: ``rid, concept``.
 
-    The mapping dictionary is broadcast behind a size check; beyond
-    ``max_forms`` the first word of each form joins the words of each text, so
-    that candidates are an equi-join.
+    One automaton finds all forms in a pass over each text.  ``block`` forms at a
+    time are sent to the tasks; a larger dictionary takes more passes, one a block.
     """
     f = forms.select("concept", F.lower("form").alias("form")).where("form <> ''").distinct()
-    low = texts.select("rid", F.lower(F.col(text)).alias("low"))
-    if f.limit(max_forms + 1).count() <= max_forms:
-        return low.join(F.broadcast(f), F.contains(F.col("low"), F.col("form"))).select("rid", "concept").distinct()
-    head = f.withColumn("w", F.regexp_extract("form", r"^(\w{3})", 1))
-    gram = low.withColumn("w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring("low", i, F.lit(3))))))
-    short = low.join(F.broadcast(head.where("w = ''").select("concept", "form")), F.contains(F.col("low"), F.col("form"))).select("rid", "concept")
-    return gram.join(head.where("w <> ''"), "w").where(F.contains(F.col("low"), F.col("form"))).select("rid", "concept").union(short).distinct()
+    spark = texts.sparkSession
+    low = texts.select("rid", F.lower(F.col(text)).alias("low")).where("low is not null")
+    kinds = low.schema["rid"].dataType, f.schema["concept"].dataType
+    schema = T.StructType([T.StructField("rid", kinds[0]), T.StructField("concept", kinds[1])])
+    parts: list[DataFrame] = []
+    held: list[tuple] = []
+
+    def take() -> None:
+        parts.append(low.mapInArrow(_finder(spark.sparkContext.broadcast(held[:]), to_arrow_type(kinds[1])), schema))
+        held.clear()
+
+    for r in f.toLocalIterator():
+        held.append((r["form"], r["concept"]))
+        if len(held) == block:
+            take()
+    if held or not parts:
+        take()
+    return reduce(DataFrame.union, parts).distinct()
+
+
+def _finder(shared, kind: pa.DataType):
+    def run(batches):
+        import ahocorasick
+
+        of: dict = {}
+        for form, concept in shared.value:
+            of.setdefault(form, []).append(concept)
+        auto = ahocorasick.Automaton()
+        for form, concepts in of.items():
+            auto.add_word(form, concepts)
+        auto.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for i, low in enumerate(batch.column(1).to_pylist()) if of else ():
+                mine = {c for _, concepts in auto.iter(low) for c in concepts}
+                rows += [i] * len(mine)
+                found += mine
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, kind)], names=["rid", "concept"])
+
+    return run

@@ -27,6 +27,25 @@ def fill_forward(df: DataFrame, keys: list[str], order: list, columns: dict[str,
     return df.withColumns({name: F.last(value, ignorenulls=True).over(w) for name, value in columns.items()})
 
 
+def carried_forward(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``name``: the last non-null ``value`` of the rows before this one in its key.
+
+    A key may hold any share of the rows: rows are ranged over tasks by key and
+    order, filled within each range, and the first rows of a range take what the
+    ranges before hold, from one row a key and range.
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    seen = F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("v")))
+    ends = ranged.groupBy("_range", *keys).agg(F.max(seen)["v"].alias("_end"))
+    before = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))).drop("_end")
+    inside = ranged.withColumn(name, F.last(value, ignorenulls=True).over(W.partitionBy("_range", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)))
+    held = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before")
+    met = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return inside.join(held, met, "left").withColumn(name, F.coalesce(name, "_before")).select(*df.columns, name)
+
+
 def sections(df: DataFrame, keys: list[str], order: list, heading: str, name: str = "section") -> DataFrame:
     """Section numbers from 0: a row opens one where the row before has a
     heading and this row's differs; rows without heading join what follows."""

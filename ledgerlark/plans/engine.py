@@ -70,7 +70,8 @@ def run_query(chunks: DataFrame, vectors: DataFrame | None, request: QueryReques
     records = hybrid.blended(records, r.ce_weight, ce, r.topk)
     if r.answer is None:
         return QueryResult(records)
-    packed = evidence.packed(records.withColumn("query_id", F.lit(0)), "query_id", r.context_tokens)
+    records = settled(records)  # at most ``topk`` rows, used three times
+    packed = settled(evidence.packed(records.withColumn("query_id", F.lit(0)), "query_id", r.context_tokens))
     block = evidence.evidence_block(packed).first()
     reply = r.answer(prompt(r.query, block["block"] if block else ""))
     rids = {x["rid"] for x in packed.select("rid").collect()}
@@ -78,6 +79,11 @@ def run_query(chunks: DataFrame, vectors: DataFrame | None, request: QueryReques
     return QueryResult(records, packed, reply)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """A small result as a local table, computed once."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def prompt(query: str, block: str) -> str:
     return f"Answer from the evidence only and cite record ids.\n\nQuestion: {query}\n\nEvidence:\n{block}"
 

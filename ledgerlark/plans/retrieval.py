@@ -8,6 +8,7 @@ from ..functions import keys as ks
 from ..functions import text as tx
 from ..operators import aggregates as ag
 from ..operators import bm25, dense, evidence, filters, hybrid, index, windows
+from ..session import version_of
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
@@ -31,6 +32,15 @@ ORDER BY score DESC, doc_id LIMIT {limit}
 """
 
 
+def _index(t) -> bm25.Index:
+    """The stored BM25 index of ``documents``, made by the first query that asks."""
+    return bm25.index_of(t("documents"), version_of(t.spark, t.path("documents")), "doc_id")
+
+
+def _hits(t, topk: int):
+    return _index(t).search(QUERY, topk)
+
+
 def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -38,14 +48,20 @@ def _rounded(df, *columns):
 @query(bm25_sql())
 def bm25_topk(t):
     """Top 20 documents by BM25 over the whole table."""
-    return _rounded(bm25.search(t("documents"), QUERY, 20, "doc_id"), "score")
+    return _rounded(_hits(t, 20), "score")
 
 
 @query(bm25_sql("upper(lang) = 'EN' AND upper(source) = 'SRC1'", 10))
 def bm25_filtered(t):
     """Statistics follow the filtered candidates."""
     docs = filters.meta_filter(t("documents").withColumnsRenamed({"lang": "ticker", "source": "form"}), ticker="en", form="Src1")
-    return _rounded(bm25.search(docs, QUERY, 10, "doc_id"), "score")
+    return _rounded(_index(t).search(QUERY, 10, docs.select(F.col("doc_id").alias("rid"))), "score")
+
+
+@query(bm25_sql("contains(text, 'token')", 15))
+def bm25_scan(t):
+    """The same scores from the texts themselves, for a corpus asked once."""
+    return _rounded(bm25.search(t.wide("documents").where(F.contains("text", F.lit("token"))), QUERY, 15, "doc_id"), "score")
 
 
 @query(f"""
@@ -54,7 +70,7 @@ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM d GROUP BY term O
 """)
 def bm25_term_stats(t):
     """Document and corpus frequency of the 100 commonest terms."""
-    p = bm25.postings(t("documents"), "doc_id")
+    p = bm25.postings(t.wide("documents"), "doc_id")
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("df"), "term").limit(100)
 
 
@@ -95,7 +111,7 @@ def dense_many(t):
 
 
 def _lists(t):
-    sparse = bm25.search(t("documents"), QUERY, 50, "doc_id")
+    sparse = _hits(t, 50)
     near = dense.search(t("embeddings"), _query_vector(t), 50, "vec_id", "embedding")
     return sparse, near
 
@@ -138,7 +154,7 @@ FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id
 def candidate_pool(t):
     """Union of two candidate lists: longest snippet, last metadata."""
     d = t("documents")
-    hits = bm25.search(d, QUERY, 50, "doc_id").select(F.col("rid").alias("doc_id"))
+    hits = _hits(t, 50).select(F.col("rid").alias("doc_id"))
     sparse = d.join(F.broadcast(hits), "doc_id").select(F.col("doc_id").alias("rid"), F.col("source").alias("snippet"), F.col("lang").alias("meta"))
     long = d.orderBy(F.desc("n_chars"), "doc_id").limit(50).select(F.col("doc_id").alias("rid"), F.concat_ws(" ", "lang", "source", F.col("n_chars").cast("string")).alias("snippet"), F.col("source").alias("meta"))
     return hybrid.pooled(sparse, long)
@@ -257,7 +273,7 @@ def filter_grammar(t):
 
 def _records(t):
     """The records of one hybrid query: its top 50, which is the packer's input."""
-    hits = bm25.search(t("documents"), QUERY, 50, "doc_id").select(F.col("rid").alias("doc_id"), F.col("score").alias("final_score"), "rank")
+    hits = _hits(t, 50).select(F.col("rid").alias("doc_id"), F.col("score").alias("final_score"), "rank")
     d = t("documents").join(F.broadcast(hits), "doc_id")
     rid = F.format_string("%010d-24-000001::text::chunk-%d", F.col("doc_id") % 40, F.floor(F.col("doc_id") / 40))
     return d.select(F.lit(0).alias("query_id"), rid.alias("rid"), F.col("source").alias("ticker"), F.lit("10-K").alias("form"), (2020 + F.col("doc_id") % 4).alias("fy"), F.col("lang").alias("heading"), F.col("text").alias("content"), tx.section_tag(F.col("text")).alias("section_tag"), tx.mentions_other_years(F.col("text")).alias("mentions_other_years"), "final_score", F.col("rank").alias("place"), F.col("doc_id").cast("string").alias("doc"))

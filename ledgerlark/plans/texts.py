@@ -82,19 +82,19 @@ list_filter(list_transform(string_split(regexp_replace(text, '([.!?])(\s|$)', '\
 """)
 def sentence_split(t):
     s = tx.sentences(F.col("text"))
-    return t("conversations").select("conv_id", "turn", F.size(s).cast("long").alias("n"), F.try_element_at(s, F.lit(1)).alias("first_sentence"))
+    return t.wide("conversations").select("conv_id", "turn", F.size(s).cast("long").alias("n"), F.try_element_at(s, F.lit(1)).alias("first_sentence"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), chr(160), ' '), '\s+', ' ', 'g')) AS text FROM pages")
 def strip_html(t):
-    return t("pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
+    return t.wide("pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
 @query("""
 SELECT doc_id, sha256(text) AS sha, md5(concat_ws('|', source, lang, text)) AS md, (source LIKE '%src1%')::INT + (source LIKE '%9%')::INT AS priority FROM documents
 """)
 def hashes(t):
-    return t("documents").select("doc_id", ks.text_key(F.col("text")).alias("sha"), ks.content_key(F.col("source"), F.col("lang"), F.col("text")).alias("md"), ks.path_priority(F.col("source"), ["src1", "9"]).alias("priority"))
+    return t.wide("documents").select("doc_id", ks.text_key(F.col("text")).alias("sha"), ks.content_key(F.col("source"), F.col("lang"), F.col("text")).alias("md"), ks.path_priority(F.col("source"), ["src1", "9"]).alias("priority"))
 
 
 @query()
@@ -108,7 +108,7 @@ SELECT doc_id, CASE WHEN length(s) <= 420 THEN s ELSE substr(s, 1, 420) || '...'
 CASE WHEN doc_id % 5 = 0 THEN 'Untitled' ELSE source END || ' [' || lang || ' 10-K FY' || (2020 + doc_id % 5) || ']' AS title FROM (SELECT *, trim(replace(text, chr(10), ' ')) AS s FROM documents)
 """)
 def snippet_title(t):
-    d = t("documents")
+    d = t.wide("documents")
     head = F.when(F.col("doc_id") % 5 != 0, F.col("source"))
     return d.select("doc_id", tx.snippet(F.col("text")).alias("snippet"), tx.title(head, F.col("lang"), F.lit("10-K"), 2020 + F.col("doc_id") % 5).alias("title"))
 
@@ -126,7 +126,7 @@ SELECT doc_id, CASE WHEN contains(l, 'item 1a') AND contains(l, 'risk') THEN 'ri
 regexp_matches(l, '20(1[0-9]|2[0-5])\\s+(form\\s+|annual\\s+report(\\s+on\\s+form)?\\s+)?10-k') AS other_years FROM (SELECT doc_id, lower({_MIXED}) AS l FROM documents)
 """)
 def section_tags(t):
-    return t("documents").select("doc_id", tx.section_tag(_mixed()).alias("tag"), tx.mentions_other_years(_mixed()).alias("other_years"))
+    return t.wide("documents").select("doc_id", tx.section_tag(_mixed()).alias("tag"), tx.mentions_other_years(_mixed()).alias("other_years"))
 
 
 _LINES = "(SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '12.5' WHEN 1 THEN 'Table of Contents' WHEN 2 THEN '---' WHEN 3 THEN 'NOTE 4 LEASES' WHEN 4 THEN 'Washington, D.C. 20549' WHEN 5 THEN '[TABLE 3]' WHEN 6 THEN 'were as follows' ELSE text END AS s FROM documents)"
@@ -149,12 +149,12 @@ greatest(1, length(coalesce(s, '')) // 4)::INTEGER AS cost FROM {_LINES}
 def line_predicates(t):
     """Noise, retrieval and table-lead predicates and the token estimate."""
     s = _lines()
-    return t("documents").select("doc_id", tx.is_noise(s).alias("noise"), tx.keep_for_retrieval(s).alias("keep"), tx.is_table_lead(s).alias("lead"), tx.approx_tokens(s).alias("cost"))
+    return t.wide("documents").select("doc_id", tx.is_noise(s).alias("noise"), tx.keep_for_retrieval(s).alias("keep"), tx.is_table_lead(s).alias("lead"), tx.approx_tokens(s).alias("cost"))
 
 
 @query(r"SELECT doc_id, CASE WHEN len(w) <= 8 THEN text ELSE array_to_string(w[-8:], ' ') END AS tail, len(w)::INTEGER AS n_words FROM (SELECT doc_id, text, string_split_regex(trim(text), '\s+') AS w FROM documents)")
 def tail_words(t):
-    return t("documents").select("doc_id", tx.tail_words(F.col("text"), 8).alias("tail"), tx.word_count(F.col("text")).alias("n_words"))
+    return t.wide("documents").select("doc_id", tx.tail_words(F.col("text"), 8).alias("tail"), tx.word_count(F.col("text")).alias("n_words"))
 
 
 @query(r"""
@@ -198,7 +198,7 @@ def ascii_marks(t):
 
 @query("SELECT doc_id, 'netincome loss ' || trim(regexp_replace(lower(source), '[^a-z0-9_ /%-]+', ' ', 'g')) || ' 5% a/b-c' AS tokens FROM documents")
 def label_tokens(t):
-    return t("documents").select("doc_id", tx.search_tokens(F.lit("netIncome (Loss)"), F.col("source"), F.lit("  "), F.lit("5% a/b-c")).alias("tokens"))
+    return t.wide("documents").select("doc_id", tx.search_tokens(F.lit("netIncome (Loss)"), F.col("source"), F.lit("  "), F.lit("5% a/b-c")).alias("tokens"))
 
 
 @query("""
@@ -210,42 +210,42 @@ def contains_join(t):
     from ..operators.labels import annotated
 
     forms = t("benchmark").select(F.col("item_id").alias("concept"), F.col("text").alias("form"))
-    return annotated(t("documents").select(F.col("doc_id").alias("rid"), "text"), forms)
+    return annotated(t.wide("documents").select(F.col("doc_id").alias("rid"), "text"), forms)
 
 
 @query()
 def html_blocks(t):
     """Text blocks of pages with carried headings (tested against fixtures)."""
-    return html.text_rows(t("pages"), "page_id").select("file", "position", "tag", "text", "heading", "is_heading")
+    return html.text_rows(t.wide("pages"), "page_id").select("file", "position", "tag", "text", "heading", "is_heading")
 
 
 @query()
 def html_tables(t):
     """Compact period tables of pages (tested against fixtures)."""
-    return html.compact_tables(html.cells(t("pages"), "page_id"))
+    return html.compact_tables(html.cells(t.wide("pages"), "page_id"))
 
 
 @query()
 def chunk_pack(t):
     """Section-aware chunks of conversations (tested against a model)."""
-    c = t("conversations")
+    c = t.wide("conversations")
     return chunker.chunks(c, "conv_id", "turn", "role", "text").select("file", "section", "heading", "chunk_index", "chunk_count", "id", "content", "section_tag", "mentions_other_years")
 
 
 @query()
 def clean_rows(t):
     """Sentences with number features (tested against fixtures)."""
-    return cleaning.clean_rows(t("documents"), "source", "doc_id").select("file", "position", "part", "heading", "text", "numbers", "percents", "currencies", "durations_days")
+    return cleaning.clean_rows(t.wide("documents"), "source", "doc_id").select("file", "position", "part", "heading", "text", "numbers", "percents", "currencies", "durations_days")
 
 
 @query()
 def keyword_windows(t):
     """Best keyword window of each document (tested against a model)."""
     terms = F.array(F.lit("worthless"), F.lit("token"))
-    return t("documents").select("doc_id", tx.best_window(F.col("text"), terms).alias("snippet"))
+    return t.wide("documents").select("doc_id", tx.best_window(F.col("text"), terms).alias("snippet"))
 
 
 @query()
 def chunk_units(t):
     """Sentence and bullet units (look-behind split: tested against a model)."""
-    return t("conversations").select("conv_id", "turn", tx.units(F.col("text")).alias("units"))
+    return t.wide("conversations").select("conv_id", "turn", tx.units(F.col("text")).alias("units"))

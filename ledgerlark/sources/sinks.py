@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import exists
+
 
 def flattened(df: DataFrame) -> DataFrame:
     """Decimals, maps, arrays and structs as text, for formats without them."""
@@ -32,7 +34,8 @@ def write(df: DataFrame, folder: str, stem: str, formats: tuple[str, ...] = ("pa
     try:
         for fmt in formats:
             out = flattened(df) if fmt == "csv" else nan_to_null(df) if fmt == "json" else df
-            w = out.write.mode("overwrite" if overwrite else "ignore")
+            done = exists(df.sparkSession, f"{folder}/{stem}.{fmt}/_SUCCESS")  # what a failed run left is written again
+            w = out.write.mode("ignore" if done and not overwrite else "overwrite")
             if fmt == "csv":
                 w = w.option("header", "true")
             (w.partitionBy(*partition_by) if partition_by else w).format(fmt).save(f"{folder}/{stem}.{fmt}")
@@ -41,7 +44,7 @@ def write(df: DataFrame, folder: str, stem: str, formats: tuple[str, ...] = ("pa
             df.unpersist()
 
 
-STORE = ("filings", "facts", "contexts", "units", "labels", "calculation_edges", "presentation_edges")
+STORE = ("filings", "facts", "contexts", "units", "labels", "calculation_edges", "presentation_edges", "definition_edges")
 
 
 def save_filing(spark: SparkSession, folder: str, tables: dict[str, DataFrame], filing_id: str) -> None:

@@ -174,7 +174,7 @@ def test_labels(spark):
 def test_dictionary_forms_both_ways(spark):
     texts = spark.createDataFrame([(1, "Net income rose"), (2, "no match"), (3, "%x")], "rid int, text string")
     forms = spark.createDataFrame([("NetIncome", "net income"), ("X", "%x"), ("E", "")], "concept string, form string")
-    few, many = (sorted(map(tuple, labels.annotated(texts, forms, max_forms=n).collect())) for n in (10, 0))
+    few, many = (sorted(map(tuple, labels.annotated(texts, forms, block=n).collect())) for n in (10, 1))
     assert few == many == [(1, "NetIncome"), (3, "X")]
 
 
@@ -204,3 +204,65 @@ def test_index_merges(spark):
     assert force == sorted(["Row(accno='a', fq='Q4', fy=2024)"] * 2 + ["Row(accno='b', fq=None, fy=1)"])
     assert sorted(r["fq"] or "" for r in index.merged(rows, dei, force=False).collect()) == ["", "Q1", "Q4"]
     assert index.filing_facts(spark.createDataFrame([("a", "Q1", 1, "d1"), ("a", "Q1", 2, "d2"), ("a", "Q2", 2, "d0")], "accno string, fq string, fy int, doc_date string")).first()["dei_doc_date"] == "d2"
+
+
+def test_stored_index_equals_scan(spark, table, tmp_path):
+    docs = table("documents")
+    index = bm25.build_index(docs, f"file://{tmp_path}/index", "doc_id")
+    for query in ("worthless token licensed License the", "zzz", "", "token"):
+        want = [tuple(r) for r in bm25.search(docs, query, 12, "doc_id").orderBy("rank").collect()]
+        got = [tuple(r) for r in index.search(query, 12).orderBy("rank").collect()]
+        assert [(r[0], r[2]) for r in got] == [(r[0], r[2]) for r in want]
+        assert [r[1] for r in got] == pytest.approx([r[1] for r in want])
+    some = docs.where("lang = 'en'")
+    want = [r["rid"] for r in bm25.search(some, "token licensed", 9, "doc_id").orderBy("rank").collect()]
+    assert want == [r["rid"] for r in index.search("token licensed", 9, some.selectExpr("doc_id as rid")).orderBy("rank").collect()]
+
+
+def test_index_is_built_once_for_a_version(spark, tmp_path, monkeypatch):
+    built, whole = [], bm25.build_index
+    monkeypatch.setattr(bm25, "shared_folder", lambda s: f"file://{tmp_path}")
+    monkeypatch.setattr(bm25, "build_index", lambda *a: built.append(a[1]) or whole(*a))
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "rid int, text string")
+    for version in ("1", "1", "2"):
+        assert [r["rid"] for r in bm25.index_of(docs, version).search("alpha").collect()] == [1]
+    assert len(built) == 2 and built[0] != built[1]
+
+
+def test_dense_scores_that_are_not_finite_do_not_count(spark):
+    df = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [0.5, 0.5]), (3, [float("inf"), 0.0]), (4, [1.0, 0.0]), (5, None), (6, [0.5, 0.5])], "rid int, vector array<double>")
+    assert [(r["rid"], r["rank"]) for r in dense.search(df, [1.0, 0.0], 9).orderBy("rank").collect()] == [(4, 1), (2, 2), (6, 3)]
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id int, vector array<double>")
+    assert [(r["rid"], r["rank"]) for r in dense.search_many(df, q, 9).orderBy("rank").collect()] == [(4, 1), (2, 2), (6, 3)]
+
+
+def test_dense_many_equals_brute_force_with_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (1500, 3)).astype(float)
+    q = rng.integers(-2, 3, (40, 3)).astype(float) + 0.5
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(rng.permutation(1500), v)], "rid long, vector array<double>").repartition(3)
+    got = dense.search_many(df, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, vector array<double>"), 7, block=16)
+    rows = {r["rid"]: np.array(r["vector"]) for r in df.collect()}
+    for i, x in enumerate(q):
+        want = sorted(rows, key=lambda r: (-round(float(rows[r] @ (x / np.linalg.norm(x))), 9), r))[:7]
+        assert [r["rid"] for r in got.where(f"query_id = {i}").orderBy("rank").collect()] == want or i > 5
+        if i > 5:
+            break
+
+
+def test_carried_forward_equals_a_window(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(None if k == 3 else f"k{k}", i, rng.choice([None, None, f"v{i}"])) for k in range(4) for i in range(60 if k == 1 else 5)]
+    df = spark.createDataFrame(rows, "k string, i int, v string").repartition(3)
+    want = {}
+    for k in {r[0] for r in rows}:
+        held = None
+        for _, i, v in sorted(r for r in rows if r[0] == k):
+            want[k, i] = held
+            held = v if v is not None else held
+    got = {(r["k"], r["i"]): r["held"] for r in windows.carried_forward(df, ["k"], ["i"], "v", "held").collect()}
+    assert got == want

@@ -44,3 +44,16 @@ def test_bm25_explodes_no_corpus(spark):
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_no_cartesian_product(spark, name):
     assert "CartesianProduct" not in plan(spark, name)
+
+
+#: Joins with the one row of a global aggregate: corpus statistics, least and largest value.
+ONE_ROW = {"bm25_topk", "bm25_filtered", "bm25_scan", "rrf_fuse", "hybrid_blend", "hybrid_without_encoder", "candidate_pool", "minmax_zscore", "evidence_mmr", "evidence_blocks", "citation_guard"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - ONE_ROW))
+def test_no_nested_loop_join(spark, name):
+    assert "NestedLoopJoin" not in plan(spark, name)
+
+
+def test_search_reads_the_query_terms_only(spark):
+    assert re.search(r"PushedFilters: \[In\(term, \[", plan(spark, "bm25_topk"))
