@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import bpe as _bpe
 from . import embedding_dedup as _embedding
 from . import exact_dedup as _exact
@@ -19,7 +20,7 @@ from . import toxicity as _toxicity
 
 
 def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
