@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import facts, retrieval, texts
+from . import facts, filings, retrieval, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "facts", "retrieval", "texts"]
+__all__ = ["ORACLES", "QUERIES", "facts", "filings", "retrieval", "texts"]

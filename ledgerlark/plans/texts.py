@@ -113,12 +113,13 @@ def snippet_title(t):
     return d.select("doc_id", tx.snippet(F.col("text")).alias("snippet"), tx.title(head, F.col("lang"), F.lit("10-K"), 2020 + F.col("doc_id") % 5).alias("title"))
 
 
-_MIXED = "CASE doc_id % 6 WHEN 0 THEN 'Item 1A. Risk Factors' WHEN 1 THEN 'Forward-looking words' WHEN 2 THEN 'See MD&A' WHEN 3 THEN 'as in our 2019 Form 10-K' WHEN 4 THEN 'the 2021 annual report on form 10-k' ELSE text END"
+_MIXED = "CASE doc_id % 6 WHEN 0 THEN 'Item 1A. Risk Factors ' WHEN 1 THEN 'Forward-looking words ' WHEN 2 THEN 'See MD&A ' WHEN 3 THEN 'as in our 2019 Form 10-K ' WHEN 4 THEN 'the 2021 annual report on form 10-k ' ELSE '' END || coalesce(text, '')"
 
 
 def _mixed():
     d = F.col("doc_id") % 6
-    return F.when(d == 0, "Item 1A. Risk Factors").when(d == 1, "Forward-looking words").when(d == 2, "See MD&A").when(d == 3, "as in our 2019 Form 10-K").when(d == 4, "the 2021 annual report on form 10-k").otherwise(F.col("text"))
+    head = F.when(d == 0, "Item 1A. Risk Factors ").when(d == 1, "Forward-looking words ").when(d == 2, "See MD&A ").when(d == 3, "as in our 2019 Form 10-K ").when(d == 4, "the 2021 annual report on form 10-k ").otherwise("")
+    return F.concat(head, F.coalesce("text", F.lit("")))
 
 
 @query(f"""
@@ -129,27 +130,24 @@ def section_tags(t):
     return t.wide("documents").select("doc_id", tx.section_tag(_mixed()).alias("tag"), tx.mentions_other_years(_mixed()).alias("other_years"))
 
 
-_LINES = "(SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '12.5' WHEN 1 THEN 'Table of Contents' WHEN 2 THEN '---' WHEN 3 THEN 'NOTE 4 LEASES' WHEN 4 THEN 'Washington, D.C. 20549' WHEN 5 THEN '[TABLE 3]' WHEN 6 THEN 'were as follows' ELSE text END AS s FROM documents)"
-
-
-def _lines():
-    d = F.col("doc_id") % 8
-    out = F.when(d == 0, "12.5")
-    for i, v in enumerate(("Table of Contents", "---", "NOTE 4 LEASES", "Washington, D.C. 20549", "[TABLE 3]", "were as follows"), 1):
-        out = out.when(d == i, v)
-    return out.otherwise(F.col("text"))
+#: Lines that every text gets besides its own, one for each predicate.
+_EXTRA = ("12.5", "Table of Contents", "---", "NOTE 4 LEASES", "Washington, D.C. 20549", "[TABLE 3]", "were as follows")
+_LINES = f"(SELECT doc_id, unnest(string_split(coalesce(text, '') || chr(10) || '{'|'.join(_EXTRA)}'.replace('|', chr(10)), chr(10))) AS s FROM documents)"
 
 
 @query(rf"""
-SELECT doc_id, coalesce(s, '') = '' OR regexp_matches(s, '^[\W_]+$') AS noise,
+WITH p AS (SELECT doc_id, coalesce(s, '') = '' OR regexp_matches(s, '^[\W_]+$') AS noise,
 trim(s) <> '' AND NOT (regexp_matches(trim(s), '^[0-9.,-]{{1,6}}$') OR regexp_matches(trim(s), '(?i)^(form\s+10-[kq]|index|signatures|table\s+of\s+contents)$') OR (regexp_matches(trim(s), '(?i)^washington,\s*d\.c\.(\s*[0-9]{{5}}(-[0-9]{{4}})?)?$') AND length(trim(s)) <= 30)) AS keep,
 regexp_matches(trim(s), '^\[(TABLE|Table).*\]$') OR regexp_matches(trim(s), '(?i)(the following( table)?|(are|were) as follows)\s*$') AS lead,
-greatest(1, length(coalesce(s, '')) // 4)::INTEGER AS cost FROM {_LINES}
+greatest(1, length(coalesce(s, '')) // 4) AS cost FROM {_LINES})
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (noise) AS n_noise, count(*) FILTER (keep) AS n_keep, count(*) FILTER (lead) AS n_lead, sum(cost)::BIGINT AS cost FROM p GROUP BY doc_id
 """)
 def line_predicates(t):
-    """Noise, retrieval and table-lead predicates and the token estimate."""
-    s = _lines()
-    return t.wide("documents").select("doc_id", tx.is_noise(s).alias("noise"), tx.keep_for_retrieval(s).alias("keep"), tx.is_table_lead(s).alias("lead"), tx.approx_tokens(s).alias("cost"))
+    """Noise, retrieval and table-lead predicates and the token estimate of every line."""
+    text = F.concat_ws("\n", F.coalesce("text", F.lit("")), *map(F.lit, _EXTRA))
+    s = F.col("s")
+    lines = t.wide("documents").select("doc_id", F.explode(F.split(text, "\n")).alias("s"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(tx.is_noise(s)).alias("n_noise"), F.count_if(tx.keep_for_retrieval(s)).alias("n_keep"), F.count_if(tx.is_table_lead(s)).alias("n_lead"), F.sum(tx.approx_tokens(s)).alias("cost"))
 
 
 @query(r"SELECT doc_id, CASE WHEN len(w) <= 8 THEN text ELSE array_to_string(w[-8:], ' ') END AS tail, len(w)::INTEGER AS n_words FROM (SELECT doc_id, text, string_split_regex(trim(text), '\s+') AS w FROM documents)")

@@ -47,7 +47,7 @@ def test_no_cartesian_product(spark, name):
 
 
 #: Joins with the one row of a global aggregate: corpus statistics, least and largest value.
-ONE_ROW = {"bm25_topk", "bm25_filtered", "bm25_scan", "rrf_fuse", "hybrid_blend", "hybrid_without_encoder", "candidate_pool", "minmax_zscore", "evidence_mmr", "evidence_blocks", "citation_guard"}
+ONE_ROW = {"bm25_topk", "bm25_filtered", "bm25_scan", "rrf_fuse", "hybrid_blend", "hybrid_without_encoder", "candidate_pool", "minmax_zscore", "scores_fused", "evidence_mmr", "evidence_blocks", "citation_guard"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - ONE_ROW))
