@@ -81,6 +81,40 @@ def filing_facts(facts: DataFrame, filing: str = "accno") -> DataFrame:
     return facts.groupBy(filing).agg(F.mode("fq", True).alias("dei_fq"), F.mode("fy", True).alias("dei_fy"), F.max("doc_date").alias("dei_doc_date"))
 
 
+#: Document facts by local name, and the metadata they give.
+DEI = {"ticker": "TradingSymbol", "form": "DocumentType", "fy": "DocumentFiscalYearFocus", "fq": "DocumentFiscalPeriodFocus", "doc_date": "DocumentPeriodEndDate", "fye": "CurrentFiscalYearEndDate"}
+
+
+def document_metadata(facts: DataFrame, filing: str = "filing_id") -> DataFrame:
+    """``ticker, form, doc_date, fy, fq, fye, year`` of each filing by its document
+    facts ``qname, value_raw, doc_order``; of several the first counts.
+
+    A form keeps its base name, a date its digits; a year that is not stated is
+    the date's.  Values of another shape are null.
+    """
+    name, value = F.regexp_extract("qname", r"([^:}]*)$", 1), F.trim("value_raw")
+    held = facts.where(F.col("value_raw").isNotNull() & name.isin(list(DEI.values())))
+    raw = held.groupBy(filing).agg(*[F.min_by(F.when(name == local, value), F.when(name == local, F.col("doc_order"))).alias(k) for k, local in DEI.items()])
+    got = lambda c, shape: F.nullif(F.regexp_extract(F.upper(c), shape, 1), F.lit(""))
+    date = F.regexp_replace(got("doc_date", r"^([0-9]{4}-[0-9]{2}-[0-9]{2})$"), "-", "")
+    year = F.coalesce(got("fy", "^([0-9]+)$").try_cast("int"), F.substring(date, 1, 4).cast("int"))
+    return raw.select(filing, F.nullif(F.upper("ticker"), F.lit("")).alias("ticker"), got("form", "(10-K|10-Q|20-F|40-F|8-K)").alias("form"), date.alias("doc_date"), year.alias("fy"), got("fq", "^(Q[1-4]|FY)$").alias("fq"), got("fye", "([0-9]{2}-[0-9]{2})").alias("fye"), year.cast("string").alias("year"))
+
+
+def with_fallback(rows: DataFrame, meta: DataFrame, key: str = "filing_id") -> DataFrame:
+    """``rows`` with blank metadata taken from ``meta``, where it has the column;
+    metadata columns that ``rows`` lacks are added."""
+    other = meta.select(key, *[F.col(c).alias(f"_{c}") for c in meta.columns if c != key])
+    out = rows.join(other, key, "left")
+    for c in (c for c in meta.columns if c != key):
+        if c in rows.columns:
+            own = F.when(F.trim(F.col(c).cast("string")) != "", F.col(c))
+            out = out.withColumn(c, F.coalesce(own, F.col(f"_{c}").cast(rows.schema[c].dataType)))
+        else:
+            out = out.withColumn(c, F.col(f"_{c}"))
+    return out.drop(*[c for c in other.columns if c != key])
+
+
 def merged(rows: DataFrame, dei: DataFrame, filing: str = "accno", force: bool = True) -> DataFrame:
     """Rows with filing values put in: over the row's own, or only where blank."""
     out = rows.join(dei, filing, "left")

@@ -203,6 +203,23 @@ def tables_largest(t):
     return html.largest_tables(html.cells(p, "p_partkey", "page"))
 
 
+@query("""
+SELECT c_custkey AS filing_id, CASE WHEN c_custkey % 2 = 0 THEN 'OWN' ELSE 'T' || c_nationkey END AS ticker, CASE WHEN c_custkey % 3 > 0 THEN '10-Q' END AS form,
+CASE WHEN c_custkey % 5 > 0 THEN (2000 + c_custkey % 20) || '0930' END AS doc_date, CASE WHEN c_custkey % 7 = 0 THEN 1999 WHEN c_custkey % 5 > 0 THEN 2000 + c_custkey % 20 END::INTEGER AS fy, 'Q' || (1 + c_custkey % 4) AS fq FROM customer
+""")
+def metadata_fallback(t):
+    """A file's own metadata, then that of its document facts."""
+    k = F.col("c_custkey")
+    fact = lambda name, value, order: F.struct(F.lit(f"dei:{name}").alias("qname"), value.alias("value_raw"), F.lit(order).alias("doc_order"))
+    stated = F.array(
+        fact("TradingSymbol", F.concat(F.lit(" t"), F.col("c_nationkey").cast("string")), 1), fact("TradingSymbol", F.lit("late"), 9), fact("DocumentType", F.when(k % 3 > 0, "10-Q/A").otherwise("S-1"), 2),
+        fact("DocumentPeriodEndDate", F.when(k % 5 > 0, F.concat((2000 + k % 20).cast("string"), F.lit("-09-30"))), 3), fact("DocumentFiscalYearFocus", F.when(k % 7 == 0, "1999"), 4), fact("DocumentFiscalPeriodFocus", F.concat(F.lit("q"), (1 + k % 4).cast("string")), 5),
+    )
+    found = t("customer").select(k.alias("filing_id"), F.explode(stated).alias("f")).select("filing_id", "f.*")
+    own = t("customer").select(k.alias("filing_id"), F.when(k % 2 == 0, "OWN").otherwise("").alias("ticker"))
+    return index.with_fallback(own, index.document_metadata(found)).select("filing_id", "ticker", "form", "doc_date", "fy", "fq")
+
+
 _XLINK = 'xmlns:xlink="http://www.w3.org/1999/xlink"'
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -29,12 +30,44 @@ def _num(v: str | None) -> float | None:
         return None
 
 
-def parse_linkbase(xml: str | None) -> list[dict]:
-    """Locators, label resources and arcs; labels of one extended link share
-    its number.  Broken XML yields nothing, as a missing file would."""
+_STRAY = re.compile(r"&(?!#?\w+;)|[\x00-\x08\x0b\x0c\x0e-\x1f]")
+
+
+def recovered(xml: str | None) -> ET.Element | None:
+    """The tree of an XML text; stray ampersands and control signs are mended, and
+    where that does not do the tree ends at the first error."""
+    text = xml or ""
+    for attempt in (text, _STRAY.sub(lambda m: "&amp;" if m.group() == "&" else " ", text)):
+        try:
+            return ET.fromstring(attempt)
+        except ET.ParseError:
+            pull, root = ET.XMLPullParser(["start"]), None
+            try:
+                pull.feed(attempt)
+                events = list(pull.read_events())
+            except ET.ParseError:
+                events = _before_error(pull)
+            root = events[0][1] if events else None
+    return root
+
+
+def _before_error(pull: ET.XMLPullParser) -> list:
+    """Events read before the error that the parser reports as its last one."""
+    out = []
     try:
-        root = ET.fromstring(xml or "")
+        for event in pull.read_events():
+            out.append(event)
     except ET.ParseError:
+        pass
+    return out
+
+
+def parse_linkbase(xml: str | None) -> list[dict]:
+    """Locators, label resources and arcs; labels of one extended link share
+    its number.  Of broken XML what stands before the break counts; a missing
+    file yields nothing."""
+    root = recovered(xml)
+    if root is None:
         return []
     out = []
     links = [e for e in root.iter() if e.get(f"{_XLINK}type") == "extended"] or [root]

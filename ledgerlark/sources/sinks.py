@@ -73,6 +73,17 @@ def write_index(vectors: DataFrame, meta: DataFrame, folder: str) -> None:
     built.withColumn("built_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{folder}/build_info")
 
 
+def read_index(spark: SparkSession, folder: str, rid: str = "rid") -> tuple[DataFrame, DataFrame]:
+    """(vectors, metadata) of a stored dense index; refused where their sizes or the
+    stated number of records differ, as after a build that did not end."""
+    vectors, meta = (spark.read.parquet(f"{folder}/{part}") for part in ("vectors", "meta"))
+    stated = spark.read.parquet(f"{folder}/build_info").first()["records"]
+    sizes = vectors.count(), meta.count(), meta.select(rid).distinct().count()
+    if {*sizes, stated} != {stated}:
+        raise ValueError(f"the index has {sizes[0]} vectors, {sizes[1]} metadata rows of {sizes[2]} ids and {stated} stated records")
+    return vectors, meta
+
+
 def markdown(df: DataFrame, max_rows: int = 120) -> str:
     """A small table as Markdown; at most ``max_rows`` rows reach the driver."""
     rows = df.limit(max_rows).collect()

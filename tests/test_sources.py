@@ -145,3 +145,69 @@ def test_entry_works_without_the_optional_part(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_replies_are_salvaged_and_checked():
+    assert engine.salvaged('Sure: {"answer": "x", "confidence": 0.5} done') == {"answer": "x", "confidence": 0.5}
+    for bad in ("no json", "{broken", "[1]", "", None):
+        assert engine.salvaged(bad) == {"answer": "", "citations": []}
+    got = engine.checked('{"answer": "", "citations": [{"rid": "a", "quote": " q "}, {"rid": "b", "quote": "q"}, {"rid": "a"}, 7]}', {"a"})
+    assert got == {"answer": engine.NOTHING, "citations": [{"rid": "a", "quote": "q"}]}
+
+
+def test_no_evidence_no_model_call(spark):
+    chunks = spark.createDataFrame([("r", "text", "AB", "10-K", 2023)], "rid string, content string, ticker string, form string, fy int")
+    got = engine.run_query(chunks, None, engine.QueryRequest("zzz", answer=lambda p: 1 / 0))
+    assert got.answer == {"answer": engine.NOTHING, "citations": []} and got.evidence is None
+
+
+def test_broken_linkbases_give_what_stands_before():
+    from ledgerlark.sources.linkbase import parse_linkbase
+
+    head = '<l xmlns:xlink="http://www.w3.org/1999/xlink"><x xlink:type="extended"><loc xlink:type="locator" xlink:label="a" xlink:href="s.xsd#p_A"/>'
+    lab = '<lab xlink:type="resource" xlink:label="b" xlink:role="r" xml:lang="en">R&D &amp; more</lab>'
+    whole = parse_linkbase(head + lab + "</x></l>")
+    assert [x["kind"] for x in whole] == ["locator", "resource"] and whole[1]["text"] == "R&D & more"
+    assert [x["concept"] for x in parse_linkbase(head + "<broken")] == ["p:A"]
+    assert parse_linkbase(None) == parse_linkbase("") == parse_linkbase("no xml") == []
+
+
+def test_index_reader_checks_sizes(spark, tmp_path):
+    v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "rid int, vector array<double>")
+    sinks.write_index(v, v.select("rid"), str(tmp_path / "ix"))
+    assert [x.count() for x in sinks.read_index(spark, str(tmp_path / "ix"))] == [3, 3]
+    v.select("rid").limit(2).write.mode("overwrite").parquet(str(tmp_path / "ix" / "meta"))
+    with pytest.raises(ValueError, match="3 vectors, 2 metadata"):
+        sinks.read_index(spark, str(tmp_path / "ix"))
+
+
+def test_unfinished_output_is_written_again(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "a int")
+    sinks.write(df, str(tmp_path), "x")
+    (tmp_path / "x.parquet" / "_SUCCESS").unlink()
+    sinks.write(df.union(df), str(tmp_path), "x")
+    assert spark.read.parquet(f"{tmp_path}/x.parquet").count() == 2
+
+
+def test_stages_one_by_one(spark, tmp_path):
+    src, out = tmp_path / "in" / "ABC" / "2023", str(tmp_path / "out")
+    src.mkdir(parents=True)
+    (src / "US_ABC_2023_10-K_0000000001-23-000002.html").write_text(PAGE)
+    (src / "facts.jsonl").write_text('{"concept": "ll:A", "numeric_value": "5"}\n\n{"concept": "NoColon"}\n')
+    (src / "calculation.jsonl").write_text('{"parent": "a", "child": "b", "weight": "1"}\n')
+    encode = lambda ts: np.ones((len(ts), 2))
+    done = engine.run_stages(spark, ["listing", "postprocess", "parse", "clean", "index", "chunk", "embed"], str(tmp_path / "in"), out, encode=encode)
+    assert done["postprocess"] == 1 and done["parse"] > 1 and done["clean"] > 0 and done["chunk"] == done["embed"] > 0 and done["index"] == 2
+    status = {r["model"]: (r["status"], r["n_rows"]) for r in spark.read.parquet(f"{out}/status.parquet").collect()}
+    assert status == {"fact": ("fail", 2), "calculation_edge": ("ok", 1)}
+    with pytest.raises(ValueError, match="encoder"):
+        engine.run_stages(spark, ["embed"], str(tmp_path), out)
+
+
+def test_cli_flags_reach_the_request():
+    from ledgerlark.cli import parser, request
+
+    a = parser().parse_args("query risk --chunks c --index i --bm25-topk 5 --dense-topk 6 --ce-candidates 7 --ce-weight 0.1 --rrf-k 9 --w-bm25 1 --w-dense 3 --max-context-tokens 99 --encoder json:dumps --loose".split())
+    r = request(a)
+    assert (r.bm25_topk, r.dense_topk, r.candidates, r.ce_weight, r.k, r.w_bm25, r.w_dense, r.context_tokens, r.strict) == (5, 6, 7, 0.1, 9.0, 1.0, 3.0, 99, False) and r.encode is json.dumps
+    assert parser().parse_args(["embed", "--out", "o"]).command == "embed"
