@@ -103,7 +103,7 @@ def text_blocks(t):
 @query("""
 SELECT o_orderkey, o_orderkey * 1e6 AS value_num, NULL::VARCHAR AS unit, o_orderkey || ' million' AS value_raw FROM orders WHERE o_orderkey % 2 = 0
 UNION ALL SELECT o_orderkey, -o_custkey::DOUBLE, NULL, '(' || o_custkey || ')' FROM orders WHERE o_orderkey % 2 = 0
-UNION ALL SELECT o_orderkey, (o_custkey / 100.0)::DOUBLE, 'percent', o_custkey || '%' FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, o_custkey::DOUBLE * 0.01::DOUBLE, 'percent', o_custkey || '%' FROM orders WHERE o_orderkey % 2 = 0
 UNION ALL SELECT o_orderkey, o_custkey::DOUBLE, 'USD', '$' || o_custkey FROM orders WHERE o_orderkey % 2 = 0
 UNION ALL SELECT o_orderkey, NULL, NULL, 'plain' FROM orders WHERE o_orderkey % 2 <> 0
 """)
@@ -181,7 +181,7 @@ def table_units(t):
 
 @query("""
 SELECT p_partkey AS file, 0 AS "table", 1 AS row, 'Size' AS account, 'FY 2023' AS header, 1 AS period_rank, p_size::DOUBLE AS value FROM part
-UNION ALL SELECT p_partkey, 0, 1, 'Size', 'FY 2022', 2, -p_partkey::DOUBLE FROM part
+UNION ALL SELECT p_partkey, 0, 1, 'Size', 'FY 2022', 2, (0 - p_partkey)::DOUBLE FROM part
 UNION ALL SELECT p_partkey, 0, 2, p_brand, 'FY 2023', 1, p_size * 1000.0 FROM part
 UNION ALL SELECT p_partkey, 0, 2, p_brand, 'FY 2022', 2, p_partkey::DOUBLE FROM part
 """)
