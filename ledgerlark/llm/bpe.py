@@ -282,7 +282,12 @@ def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = 65_536,
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", limit: int = 65_536) -> str:
-    """Compile the frequent words and return the automaton's shared folder."""
+    """Compile the frequent words and return the automaton's shared folder.
+
+    Null and empty texts hold no word; repeated rows count each; words met once or
+    longer than 64 bytes are left to merging, and an empty table gives an empty
+    automaton, with which encoding is the same but slower.  Only ``text_col`` is read.
+    """
     words = [w for w in frequent_words(docs, text_col, limit) if len(words_of(w)) == 1]
     codec = Codec(tokenizer)
     folder = scratch(docs.sparkSession, "lexicon")

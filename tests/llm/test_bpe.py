@@ -71,3 +71,19 @@ def test_frequent_words_stay_within_the_limit(odd, none):
     assert 0 < len(bpe.frequent_words(odd, limit=8)) <= 8
     assert bpe.frequent_words(none) == []
     assert bpe.round_trip(none, PATH, bpe.compile_lexicon(none, PATH)).count() == 0
+
+
+def test_whole_table_equals_the_library(spark, codec):
+    """The query over all documents of a size, with its own lexicon."""
+    from hashlib import sha256
+
+    from ledgerlark.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: tuple(r)[1:4] for r in registry.op1_bpe_round_trip(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = {}
+    for doc, text in rows:
+        ids = codec.model.encode(text or "", add_special_tokens=False).ids
+        want[doc] = len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(codec.model.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert got == want and len(rows) == len(want)

@@ -63,3 +63,30 @@ def test_pack_odd_rows(odd, odd_rows, none):
             end += n
         assert end <= size
     assert packing.pack(none, path).count() == 0
+
+
+def test_query_equals_the_library_and_fills_sequences(spark):
+    """The query over a whole table at 4096 tokens a sequence."""
+    from ledgerlark.llm import registry
+
+    sf, size = "/root/testdata/sf0.001", 4096
+    out = registry.op5_best_fit_packing(spark, sf).collect()
+    model = Codec(tokenizer_file()).model
+    want, counts = [], {}
+    for doc, text in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = model.encode(text or "", add_special_tokens=False).ids + [1]
+        for p in range(0, len(ids), size):
+            part = ids[p : p + size]
+            counts[len(part)] = counts.get(len(part), 0) + 1
+            want.append((doc, p // size, p, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == sorted(want)
+    use = {}
+    for r in out:
+        use.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in use.values():
+        end = 0
+        for at, n in sorted(parts):
+            assert at == end
+            end += n
+        assert end <= size
+    assert len(use) <= best_fit_decreasing(counts, size)
