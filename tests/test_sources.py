@@ -145,6 +145,10 @@ def test_entry_works_without_the_optional_part(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    # a dependency that is missing is no absent part
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_dependency\n")
+    bad = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert bad.returncode and "no_such_dependency" in bad.stderr
 
 
 def test_replies_are_salvaged_and_checked():
