@@ -6,8 +6,6 @@ library's own sources, so that the SQL of the same rows holds them to account.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,14 +13,14 @@ from .. import schemas
 from ..functions import numbers as nu
 from ..functions import text as tx
 from ..operators import dense, facts, filters, hybrid, index, labels, windows
-from ..session import shared_folder
+from ..session import scratch_folder
 from ..sources import files, html, instance, linkbase, sinks
 from .registry import query
 
 
 def _fresh(t, name: str) -> str:
     """A new folder for files that a query writes and reads."""
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return scratch_folder(t.spark, name)
 
 
 @query("""

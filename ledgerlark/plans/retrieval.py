@@ -8,7 +8,7 @@ from ..functions import keys as ks
 from ..functions import text as tx
 from ..operators import aggregates as ag
 from ..operators import bm25, dense, evidence, filters, hybrid, index, windows
-from ..session import version_of
+from ..session import scratch_folder, version_of
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
@@ -64,6 +64,16 @@ def bm25_scan(t):
     return _rounded(bm25.search(t.wide("documents").where(F.contains("text", F.lit("token"))), QUERY, 15, "doc_id"), "score")
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term)
+SELECT count(*) AS n_postings, count(DISTINCT doc_id) AS n_docs, sum(tf)::BIGINT AS n_tokens FROM p
+""")
+def bm25_index(t):
+    """A new index of the whole table, as the first search builds it: its totals."""
+    built = bm25.build_index(t.wide("documents"), scratch_folder(t.spark, "bm25"), "doc_id")
+    return built.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.count_distinct("rid").alias("n_docs"), F.sum("tf").alias("n_tokens"))
+
+
 @query(f"""
 WITH d AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM d GROUP BY term ORDER BY df DESC, term LIMIT 100
