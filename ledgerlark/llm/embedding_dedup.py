@@ -47,10 +47,14 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cells_of(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home cell, boolean (rows, cells): which cells each unit row visits)."""
+    """(home cell, boolean (rows, cells): which cells each unit row visits).
+
+    Squared distances of centroids are rounded, to zero where they all but
+    coincide; 1e-12 more keeps them from falling short.
+    """
     sim = x @ c.T
     home = sim.argmax(axis=1)
-    gap = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T)))[home]
+    gap = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T)) + 1e-12)[home]
     reach = math.sqrt(1 - cosine * cosine) if cosine > 0 else 2.0
     near = sim[np.arange(len(x)), home][:, None] - sim <= reach * gap + 1e-9
     return home, near & (np.arange(len(c)) < home[:, None])
@@ -59,12 +63,13 @@ def cells_of(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, n
 def linked(ra: np.ndarray, rb: np.ndarray, cosine: float) -> np.ndarray:
     """Boolean (rows of a, rows of b): cosine >= ``cosine`` in double precision.
 
-    Products within 1e-9 of the threshold are decided by exactly rounded sums.
+    Products within 1e-9 of the threshold are decided by exactly rounded sums,
+    of rows brought near 1 by powers of two so that no square leaves the range.
     """
     sim = unit(ra) @ unit(rb).T
     hit = sim >= cosine
     for i, j in zip(*np.nonzero(np.abs(sim - cosine) < 1e-9)):
-        a, b = ra[i].tolist(), rb[j].tolist()
+        a, b = (np.ldexp(v, -np.frexp(np.abs(v).max())[1]).tolist() for v in (ra[i], rb[j]))
         dot = math.fsum(x * y for x, y in zip(a, b))
         hit[i, j] = dot / math.sqrt(math.fsum(x * x for x in a) * math.fsum(x * x for x in b)) >= cosine
     return hit
@@ -137,15 +142,18 @@ def _found(node, n, root):
 def cell_mapper(cosine: float, block: int):
     """Compare within cells; rows (dims, tag, cell, visit, rep, n, vec) are sorted.
 
-    A cell of up to ``block`` rows inside this partition is done here.  Larger
-    ones, and the partition's first and last, which may go on in another, leave
-    in chunks that meet chunk by chunk elsewhere.
+    A cell of fewer than two ``block`` rows inside this partition is done here,
+    its two chunks with each other too.  Larger ones, and the partition's first
+    and last, which may go on in another, leave in chunks that meet chunk by
+    chunk elsewhere.
     """
 
     def chunks(key, blk, seq, out):
-        for s in range(0, len(blk), block):
-            c = blk.cut(s, s + block)
+        parts = [blk.cut(s, s + block) for s in range(0, len(blk), block)]
+        for i, c in enumerate(parts):
             yield _found(*compare(c, None, cosine))
+            for other in [] if out else parts[i + 1 :]:
+                yield _found(*compare(c, other, cosine))
             if out:
                 row = [None, None, None, *key, TaskContext.get().partitionId(), seq, bool((~c.visit).any()), c.pack()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _PART)], schema=_PART)

@@ -50,6 +50,19 @@ def test_links_equal_brute_force(spark, rows, options):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("cells", [1, 3])
+def test_cells_between_one_and_two_blocks(spark, cells):
+    # many labels, so that most cells lie within a partition and are not its first or last
+    rng = np.random.default_rng(8)
+    rows = []
+    for label in range(60):
+        for _ in range(label % 9 + 1):
+            rows.append((len(rows), (np.ones(3) + rng.normal(size=3) * 0.15).tolist(), label))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = e.embedding_dedup(df, block=4, max_cells=cells).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == brute(rows)
+
+
 def pair_at(rng, cosine, dims):
     x = rng.normal(size=dims)
     x /= np.linalg.norm(x)
@@ -66,6 +79,26 @@ def test_every_pair_at_the_threshold_meets_once():
         assert hx == hy or bool(vx[hy]) != bool(vy[hx])
 
 
+def test_pairs_meet_where_centroids_all_but_coincide():
+    rng = np.random.default_rng(3)
+    for size in (3e-9, 1e-8, 3e-8) * 50:
+        h = e.unit(rng.normal(size=(1, 6)))[0]
+        w = rng.normal(size=6)
+        w -= h * (h @ w)
+        w /= np.linalg.norm(w)
+        c = e.unit(np.stack([h - w * size / 2, h + w * size / 2]))
+        t = math.acos(0.9300001)
+        x, y = (math.cos(a) * h + math.sin(a) * w for a in (0.9 * t, -0.1 * t))
+        (hx, hy), (vx, vy) = e.cells_of(np.stack([x, y]), c, 0.93)
+        assert hx == hy or bool(vx[hy]) != bool(vy[hx])
+
+
+def test_pairs_at_the_threshold_link_whatever_their_size():
+    a, b = np.array([[3.0, 4.0]]), np.array([[4.0, 3.0]])
+    for k in (-1000, -300, 0, 300, 1000):
+        assert e.linked(a * 2.0**k, b * 2.0**k, 0.96).all() and e.linked(a * 2.0**k, b, 0.96).all()
+
+
 def test_pairs_at_the_threshold_link(spark):
     # 3-4-5 triangles: the cosine is 0.96 exactly, and 24/25 divides evenly in sums
     rows = [(1, [3.0, 4.0], 1), (2, [4.0, 3.0], 1), (3, [1.0, 0.0], 1), (4, [0.96, 0.28], 1)]
