@@ -188,7 +188,7 @@ def tables_compacted(t):
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     cell = lambda *x: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), v if not isinstance(v, str) else F.lit(v), F.lit("</td>")) for v in x], F.lit("</tr>"))
     page = F.concat(F.lit("<p>before</p><table>"), cell("Account", "FY 2021", "FY 2023", "FY 2022"), cell("Size", "7", size, F.concat(F.lit("("), key, F.lit(")"))), cell(F.col("p_brand"), "8", F.concat(F.lit("$"), size, F.lit("K")), key), F.lit("</table>"))
-    return html.compact_tables(html.cells(t("part").select("p_partkey", page.alias("page")), "p_partkey", "page"))
+    return html.compact_tables(html.cells(t.wide("part").select("p_partkey", page.alias("page")), "p_partkey", "page"))
 
 
 @query("SELECT p_partkey AS file, (p_partkey % 3)::INTEGER AS \"table\" FROM part")

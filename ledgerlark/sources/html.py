@@ -7,12 +7,13 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers as nu
 from ..functions.periods import header_weight
 from ..functions.types import array_of
-from ..operators.windows import fill_forward, first_of, top_of
+from ..operators.windows import fill_forward, first_of
 
 _SKIP = {"script", "style", "noscript", "template", "svg", "head"}
 _BLOCK = set("address article aside blockquote center div dd dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
@@ -174,16 +175,18 @@ def compact_tables(long: DataFrame, look: int = 50, max_rows: int = 120) -> Data
     weight.  Tables show at most ``max_rows`` rows.
     """
     keys = ["file", "table"]
-    cell = long.withColumn("number", nu.human_number(F.col("text")))
-    body = cell.where((F.col("row") > 0) & (F.col("row") <= look))
-    share = body.groupBy(*keys, "col").agg(F.count_if(F.col("number").isNull()).alias("words"), F.avg(F.col("number").isNotNull().cast("double")).alias("numeric"))
-    account = share.groupBy(*keys).agg(F.max_by("col", F.struct("words", (-F.col("col")).alias("left"))).alias("account_col"))
-    header = cell.where("row = 0").select(*keys, "col", F.col("text").alias("header"))
-    periods = share.where("numeric >= 0.5").join(account, keys).where("col <> account_col").join(header, [*keys, "col"], "left").withColumn("weight", header_weight(F.col("header")))
-    latest = top_of(periods, keys, [F.desc("weight"), "col"], 2, "period_rank").select(*keys, "col", "header", "period_rank", "account_col")
-    names = cell.join(account, keys).where("col = account_col").select(*keys, "row", F.col("text").alias("account"))
-    values = cell.join(latest, [*keys, "col"]).where((F.col("row") > 0) & (F.col("row") <= max_rows))
-    return values.join(names, [*keys, "row"], "left").select(*keys, "row", "account", "header", "period_rank", F.col("number").alias("value"))
+    # one exchange brings a table together; windows over it spill, where joins would be broadcast through the driver
+    table, column, line = W.partitionBy(*keys), W.partitionBy(*keys, "col"), W.partitionBy(*keys, "row")
+    cell = long.repartition(*keys).withColumn("number", nu.human_number(F.col("text")))
+    body = (F.col("row") > 0) & (F.col("row") <= look)
+    head, number = F.col("row") == 0, F.col("number").isNotNull()
+    cell = cell.withColumns({"_n": F.count_if(body).over(column), "_numbers": F.count_if(body & number).over(column), "header": F.max(F.when(head, F.col("text"))).over(column), "_weight": F.max(F.when(head, header_weight(F.col("text")))).over(column)})
+    cell = cell.withColumn("_account", -F.max(F.when(F.col("_n") > 0, F.struct(F.col("_n") - F.col("_numbers"), (-F.col("col")).alias("left")))).over(table)["left"])
+    cell = cell.withColumn("_period", (F.col("_n") > 0) & (F.col("_numbers") * 2 >= F.col("_n")) & (F.col("col") != F.col("_account")))
+    cell = cell.withColumn("period_rank", F.dense_rank().over(table.orderBy(F.desc("_period"), F.desc("_weight"), "col")))
+    cell = cell.withColumn("account", F.max(F.when(F.col("col") == F.col("_account"), F.col("text"))).over(line))
+    values = cell.where(F.col("_period") & (F.col("period_rank") <= 2) & (F.col("row") > 0) & (F.col("row") <= max_rows))
+    return values.select(*keys, "row", "account", "header", "period_rank", F.col("number").alias("value"))
 
 
 CODES = "USD|EUR|GBP|JPY|CNY|RMB|AUD|CAD|CHF|HKD|NTD|SGD|TWD"
