@@ -86,9 +86,10 @@ def token_windows(df: DataFrame, text: str, size: int, overlap: int) -> DataFram
 
 def covered(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Union of intervals of each key: a running maximum of ends opens a new
-    cover where a start is beyond it."""
-    w = W.partitionBy(*keys).orderBy(start, end)
+    cover where a start is beyond it.  Null starts and ends come last and open
+    nothing, unless no end stands before them."""
+    w = W.partitionBy(*keys).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    opens = F.coalesce((F.col(start) > reach).cast("int"), F.lit(1))
+    opens = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
     marked = df.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
