@@ -163,8 +163,14 @@ def keep_for_retrieval(text: Column) -> Column:
     return (t != "") & ~junk
 
 
+def split_words(text: Column) -> Column:
+    """Words between runs of SQL's white space (no vertical tab), the outer
+    Unicode blanks cut off; an empty text is one empty word, null stays null."""
+    return F.split(F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", ""), r"[\t\n\f\r ]+")
+
+
 def tail_words(text: Column, n: int) -> Column:
-    words = F.split(F.trim(text), r"\s+")
+    words = split_words(text)
     return F.when(F.size(words) <= n, text).otherwise(F.array_join(F.slice(words, -n, n), " "))
 
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ledgerlark.operators import windows
+from ledgerlark.plans import catalogue
 from ledgerlark.sources import html
 
 
@@ -21,3 +23,17 @@ def test_compact_tables_pick_account_and_periods(spark):
     cells = [("f", 0, r, c, t) for r, row in enumerate(rows) for c, t in enumerate(row) if t] + [("g", 1, 0, 0, "only a header")]
     got = html.compact_tables(spark.createDataFrame(cells, "file string, table int, row int, col int, text string")).orderBy("row", "period_rank").collect()
     assert [(r["row"], r["account"], r["header"], r["value"]) for r in got] == [(1, "a", "FY 2023", 3.0), (1, "a", "FY 2022", 2.0), (2, "b", "FY 2023", None), (2, "b", "FY 2022", 5000.0), (3, None, "FY 2023", 8.0), (3, None, "FY 2022", 9.0)]
+
+
+def test_null_intervals_open_no_cover(spark):
+    rows = [(1, 1, 3), (1, 2, 5), (1, 7, 8), (1, None, None), (1, 9, None), (2, None, None), (2, 4, 6), (3, None, None)]
+    got = windows.covered(spark.createDataFrame(rows, "k int, a int, b int"), ["k"], "a", "b").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 5), (1, 7, 8), (1, 9, None), (2, 4, 6), (3, None, None)], key=str)
+
+
+def test_tail_words_of_odd_texts(spark, tmp_path):
+    nine = [f"w{i}" for i in range(9)]
+    want = {None: (None, None), "": ("", 1), " ": (" ", 1), "a\x0bb c": ("a\x0bb c", 2), "a\x0b" * 12: ("a\x0b" * 12, 1), "\u3000" + " ".join(nine) + "\u3000": (" ".join(nine[1:]), 9), " ".join(nine) + "\n": (" ".join([*nine[2:], ""]), 10)}
+    spark.createDataFrame(list(enumerate(want)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["tail"], r["n_words"]) for r in catalogue.QUERIES["tail_words"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
