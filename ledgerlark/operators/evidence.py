@@ -168,5 +168,8 @@ def evidence_block(packed_rows: DataFrame, key: str = "query_id", max_chars: int
 
 
 def guarded_citations(citations: DataFrame, evidence: DataFrame, size: int = 240) -> DataFrame:
-    """Citations whose id was packed, quotes cut at ``size`` characters."""
-    return citations.join(evidence.select("rid").distinct(), "rid", "left_semi").withColumn("quote", F.substring(F.trim("quote"), 1, size))
+    """Citations whose id was packed, quotes cut at ``size`` characters.
+
+    The packed ids are bounded by their queries' top-k and go to the citations,
+    which stay where they are."""
+    return citations.join(F.broadcast(evidence.select("rid").distinct()), "rid", "left_semi").withColumn("quote", F.substring(F.trim("quote"), 1, size))
