@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import best_window, tokens
-from ..session import exists, shared_folder, spread
+from ..session import exists, removed, shared_folder, spread
 
 K1, B = 1.5, 0.75
 
@@ -25,6 +25,15 @@ def postings(docs: DataFrame, rid: str = "rid", text: str = "text") -> DataFrame
     return each.groupBy("rid", "length", "term").agg(F.count(F.lit(1)).alias("tf")).select("rid", "term", "tf", "length")
 
 
+def counted(docs: DataFrame, rid: str = "rid", text: str = "text") -> DataFrame:
+    """``rid, length, counts(term, tf)``: each document's terms, counted in its row."""
+    t = docs.select(F.col(rid).alias("rid"), F.sort_array(tokens(F.col(text))).alias("toks"))
+    starts = F.filter(F.transform("toks", lambda w, i: F.when((i == 0) | (w != F.get("toks", i - 1)), i)), lambda i: i.isNotNull())
+    runs = t.select("rid", "toks", starts.alias("starts"))
+    counts = F.transform("starts", lambda s, j: F.struct(F.get("toks", s).alias("term"), (F.coalesce(F.get("starts", j + 1), F.size("toks")) - s).cast("long").alias("tf")))
+    return runs.select("rid", F.size("toks").alias("length"), counts.alias("counts"))
+
+
 @dataclass
 class Index:
     """A stored index: ``postings(term, rid, tf, length)`` in order of term, and
@@ -55,11 +64,18 @@ def build_index(docs: DataFrame, path: str, rid: str = "rid", text: str = "text"
 
     Postings are range-partitioned and sorted by term and id: a query's terms
     prune row groups by their statistics, and a frequent term spreads over files.
+    Terms are counted in their document's row and kept a while, so postings are
+    exchanged once and the texts read once.
     """
     spark = docs.sparkSession
-    p = postings(docs, rid, text).select("term", "rid", "tf", "length")
-    p.repartitionByRange("term", "rid").sortWithinPartitions("term", "rid").write.mode("overwrite").parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("rid").agg(F.first("length").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+    counted(docs, rid, text).write.mode("overwrite").parquet(f"{path}/counts")
+    held = spark.read.parquet(f"{path}/counts").where("length > 0")
+    p = held.select("rid", "length", F.inline("counts")).repartitionByRange("term", "rid")
+    if held.groupBy("rid", "length").count().where("count > 1").take(1):  # the ranges hold all of a term and id
+        p = p.groupBy("term", "rid", "length").agg(F.sum("tf").alias("tf"))
+    p.select("term", "rid", "tf", "length").sortWithinPartitions("term", "rid").write.mode("overwrite").parquet(f"{path}/postings")
+    held.groupBy("rid").agg(F.first("length").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+    removed(spark, f"{path}/counts")
     return load_index(spark, path)
 
 

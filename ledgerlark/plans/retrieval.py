@@ -71,7 +71,10 @@ SELECT count(*) AS n_postings, count(DISTINCT doc_id) AS n_docs, sum(tf)::BIGINT
 def bm25_index(t):
     """A new index of the whole table, as the first search builds it: its totals."""
     built = bm25.build_index(t.wide("documents"), scratch_folder(t.spark, "bm25"), "doc_id")
-    return built.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.count_distinct("rid").alias("n_docs"), F.sum("tf").alias("n_tokens"))
+    none = F.lit(None).cast("long")
+    p = built.postings.agg(F.count(F.lit(1)).alias("n_postings"), none.alias("n_docs"), F.sum("tf").alias("n_tokens"))
+    n = built.lengths.agg(none.alias("n_postings"), F.count_distinct("rid").alias("n_docs"), none.alias("n_tokens"))
+    return p.unionByName(n).agg(*[F.sum(c).alias(c) for c in p.columns])
 
 
 @query(f"""

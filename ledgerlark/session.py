@@ -76,6 +76,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path with all below it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def version_of(spark: SparkSession, path: str) -> str:
     """Length and time of the files under ``path``: changes when they do."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import windows
+from ledgerlark.operators import bm25, evidence, windows
 from ledgerlark.plans import catalogue
 from ledgerlark.sources import html
 
@@ -37,3 +37,21 @@ def test_tail_words_of_odd_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(want)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["tail"], r["n_words"]) for r in catalogue.QUERIES["tail_words"](spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_terms_are_counted_in_their_row(spark, tmp_path):
+    rows = [(1, "pear fig pear"), (2, "fig"), (2, "nut"), (2, "nut lime"), (3, None), (4, "the a")]
+    docs = spark.createDataFrame(rows, "rid long, text string")
+    assert "Exchange" not in plan(bm25.counted(docs))
+    built = bm25.build_index(docs, f"file://{tmp_path}/index")
+    want = {tuple(r) for r in bm25.postings(docs).select("term", "rid", "tf", "length").collect()}
+    got = [tuple(r) for r in built.postings.select("term", "rid", "tf", "length").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert not (tmp_path / "index" / "counts").exists()
+
+
+def test_citations_stay_where_they_are(spark):
+    cited = spark.createDataFrame([("a", " x "), ("b", "y")], "rid string, quote string")
+    packed = spark.createDataFrame([("a",), ("a",)], "rid string")
+    df = evidence.guarded_citations(cited, packed)
+    assert "SortMergeJoin" not in plan(df) and [tuple(r) for r in df.collect()] == [("a", "x")]
