@@ -268,8 +268,7 @@ def instance_facts(t):
         F.lit('<unit id="u"><divide><unitNumerator><measure>iso4217:USD</measure></unitNumerator><unitDenominator><measure>shares</measure></unitDenominator></divide></unit><ll:Balance contextRef="c" unitRef="u" decimals="2">'), key,
         F.lit('</ll:Balance><ll:None contextRef="c" xsi:nil="true"/></xbrl>'),
     )
-    found, contexts, units = instance.instances(t("customer").select(F.col("c_custkey").alias("filing_id"), xml.alias("xml")))
-    out = found.join(contexts, ["filing_id", "context_id"]).join(units, ["filing_id", "unit_id"])
+    out = instance.facts_in_context(t.wide("customer").select(F.col("c_custkey").alias("filing_id"), xml.alias("xml")))
     return out.select("filing_id", "qname", "value_raw", "decimals", "doc_order", "entity", "instant", "dimensions_json", "measure")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators import bm25, evidence, windows
 from ledgerlark.plans import catalogue
-from ledgerlark.sources import html
+from ledgerlark.sources import html, instance, parts
 
 
 def plan(df):
@@ -55,3 +55,28 @@ def test_citations_stay_where_they_are(spark):
     packed = spark.createDataFrame([("a",), ("a",)], "rid string")
     df = evidence.guarded_citations(cited, packed)
     assert "SortMergeJoin" not in plan(df) and [tuple(r) for r in df.collect()] == [("a", "x")]
+
+
+def test_instances_are_parsed_once_and_stay(spark):
+    ns = 'xmlns="http://www.xbrl.org/2003/instance" xmlns:ll="urn:ll"'
+    unit = lambda name, measure: f'<unit id="{name}"><measure>{measure}</measure></unit>'
+    fact = lambda context, unit, value: f'<ll:F contextRef="{context}" unitRef="{unit}">{value}</ll:F>'
+    context = '<context id="c"><entity><identifier scheme="s">E</identifier></entity></context>'
+    xml = f'<xbrl {ns}>{context}{unit("u", "A")}{unit("v", "B")}{fact("c", "v", 1)}{fact("c", "u", 2)}{fact("x", "u", 3)}{fact("c", "x", 4)}<ll:F contextRef="c">5</ll:F></xbrl>'
+    out = instance.facts_in_context(spark.createDataFrame([(1, xml), (1, xml.replace("A", "C")), (2, None), (3, "<x")], "filing_id long, xml string"))
+    assert "Exchange" not in plan(out)
+    got = sorted(tuple(r) for r in out.select("filing_id", "qname", "value_raw", "entity", "measure", "doc_order").collect())
+    assert got == [(1, "ll:F", "1", "E", "B", 0), (1, "ll:F", "1", "E", "B", 0), (1, "ll:F", "2", "E", "A", 1), (1, "ll:F", "2", "E", "C", 1)]
+
+
+def test_files_are_parsed_a_bounded_number_at_a_time(spark):
+    def parse(text):
+        held.append(text)
+        return [{"n": len(held)}] * 2
+
+    held = []  # one copy a task
+    out = parts.in_parts(spark.range(300).selectExpr("id", "cast(id as string) as t").coalesce(1), "id", "t", parse, most=7, n="int")
+    assert [r["n"] for r in out.orderBy("file", "position").collect()] == [i // 2 + 1 for i in range(600)]
+    pages = spark.createDataFrame([("f", "<p>one two</p><p>three</p>"), ("g", None)], "file string, html string")
+    text = html.text_rows(pages)
+    assert "MapInArrow" in plan(text) and [r["text"] for r in text.orderBy("position").collect()] == ["one two", "three"]
