@@ -5,15 +5,14 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers as nu
 from ..functions.periods import header_weight
-from ..functions.types import array_of
 from ..operators.windows import fill_forward, first_of
+from .parts import in_parts
 
 _SKIP = {"script", "style", "noscript", "template", "svg", "head"}
 _BLOCK = set("address article aside blockquote center div dd dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
@@ -91,11 +90,6 @@ def blocks_of(html: str | None) -> list[dict]:
     return p.out
 
 
-@F.pandas_udf(array_of(tag="string", text="string", path="string", anchor="string", page="int", is_heading="boolean"))
-def html_blocks(pages: pd.Series) -> pd.Series:
-    return pages.map(blocks_of)
-
-
 #: The tail of a parenthesis that a line break cut off.
 FRAGMENT = r"(?i)^\W*(and|of|or)\b.+\)$"
 
@@ -106,7 +100,7 @@ def text_rows(pages: DataFrame, file: str = "file", html: str = "html") -> DataF
     Repeated texts of a page go before headings are carried down, so a repeated
     heading does not switch context; fragments below 3 characters go too.
     """
-    raw = pages.select(F.col(file).alias("file"), F.posexplode(html_blocks(html)).alias("position", "b")).select("file", "position", "b.*").where(F.length("text") >= 3)
+    raw = in_parts(pages, file, html, blocks_of, tag="string", text="string", path="string", anchor="string", page="int", is_heading="boolean").where(F.length("text") >= 3)
     raw = raw.where(~((F.length("text") < 25) & F.col("text").rlike(FRAGMENT)))
     kept = first_of(raw, ["file", "text"], ["position"])
     low = F.lower("text")
@@ -157,14 +151,9 @@ def cells_of(html: str | None) -> list[dict]:
     return p.out
 
 
-@F.pandas_udf(array_of(table="int", row="int", col="int", text="string"))
-def table_cells(pages: pd.Series) -> pd.Series:
-    return pages.map(cells_of)
-
-
 def cells(pages: DataFrame, file: str = "file", html: str = "html") -> DataFrame:
     """Long cells ``file, table, row, col, text`` (blank cells go)."""
-    return pages.select(F.col(file).alias("file"), F.explode(table_cells(html)).alias("c")).select("file", "c.*").where("text <> ''")
+    return in_parts(pages, file, html, cells_of, table="int", row="int", col="int", text="string").drop("position").where("text <> ''")
 
 
 def compact_tables(long: DataFrame, look: int = 50, max_rows: int = 120) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.types import struct
 _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-def in_parts(files: DataFrame, file: str, text: str, parse: Callable[[str | None], list[dict]], most: int = 64, **fields: str) -> DataFrame:
+def in_parts(files: DataFrame, file: str, text: str, parse: Callable[[str | None], list[dict]], /, most: int = 64, **fields: str) -> DataFrame:
     """``file, position`` and ``fields`` of each item that ``parse`` finds in a text.
 
     A worker holds the items of ``most`` files, whatever an Arrow batch holds.
