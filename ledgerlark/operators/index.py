@@ -94,7 +94,8 @@ def document_metadata(facts: DataFrame, filing: str = "filing_id") -> DataFrame:
     """
     name, value = F.regexp_extract("qname", r"([^:}]*)$", 1), F.trim("value_raw")
     held = facts.where(F.col("value_raw").isNotNull() & name.isin(list(DEI.values())))
-    raw = held.groupBy(filing).agg(*[F.min_by(F.when(name == local, value), F.when(name == local, F.col("doc_order"))).alias(k) for k, local in DEI.items()])
+    # exchanged first: string aggregates sort, and a task then sorts a part of bounded size, not its share of the scan
+    raw = held.select(filing, "qname", "value_raw", "doc_order").repartition(filing).groupBy(filing).agg(*[F.min_by(F.when(name == local, value), F.when(name == local, F.col("doc_order"))).alias(k) for k, local in DEI.items()])
     got = lambda c, shape: F.nullif(F.regexp_extract(F.upper(c), shape, 1), F.lit(""))
     date = F.regexp_replace(got("doc_date", r"^([0-9]{4}-[0-9]{2}-[0-9]{2})$"), "-", "")
     year = F.coalesce(got("fy", "^([0-9]+)$").try_cast("int"), F.substring(date, 1, 4).cast("int"))

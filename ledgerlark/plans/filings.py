@@ -213,7 +213,7 @@ def metadata_fallback(t):
         fact("TradingSymbol", F.concat(F.lit(" t"), F.col("c_nationkey").cast("string")), 1), fact("TradingSymbol", F.lit("late"), 9), fact("DocumentType", F.when(k % 3 > 0, "10-Q/A").otherwise("S-1"), 2),
         fact("DocumentPeriodEndDate", F.when(k % 5 > 0, F.concat((2000 + k % 20).cast("string"), F.lit("-09-30"))), 3), fact("DocumentFiscalYearFocus", F.when(k % 7 == 0, "1999"), 4), fact("DocumentFiscalPeriodFocus", F.concat(F.lit("q"), (1 + k % 4).cast("string")), 5),
     )
-    found = t("customer").select(k.alias("filing_id"), F.explode(stated).alias("f")).select("filing_id", "f.*")
+    found = t.wide("customer").select(k.alias("filing_id"), F.explode(stated).alias("f")).select("filing_id", "f.*")
     own = t("customer").select(k.alias("filing_id"), F.when(k % 2 == 0, "OWN").otherwise("").alias("ticker"))
     return index.with_fallback(own, index.document_metadata(found)).select("filing_id", "ticker", "form", "doc_date", "fy", "fq")
 

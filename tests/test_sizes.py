@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import bm25, evidence, windows
+from ledgerlark.operators import bm25, evidence, index, windows
 from ledgerlark.plans import catalogue
 from ledgerlark.sources import html, instance, parts
 
@@ -80,3 +80,10 @@ def test_files_are_parsed_a_bounded_number_at_a_time(spark):
     pages = spark.createDataFrame([("f", "<p>one two</p><p>three</p>"), ("g", None)], "file string, html string")
     text = html.text_rows(pages)
     assert "MapInArrow" in plan(text) and [r["text"] for r in text.orderBy("position").collect()] == ["one two", "three"]
+
+
+def test_document_metadata_sort_after_the_exchange(spark):
+    facts = spark.createDataFrame([("f", "dei:TradingSymbol", "b", 2), ("f", "dei:TradingSymbol", "a", 1), ("g", "dei:Other", "x", 1)], "filing_id string, qname string, value_raw string, doc_order int")
+    df = index.document_metadata(facts)
+    assert "Sort" not in plan(df).partition("Exchange")[2]
+    assert [(r["filing_id"], r["ticker"]) for r in df.collect()] == [("f", "A")]
