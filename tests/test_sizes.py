@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import bm25, evidence, index, windows
+from ledgerlark.operators import bm25, cleaning, evidence, index, windows
 from ledgerlark.plans import catalogue
 from ledgerlark.sources import html, instance, parts
 
@@ -87,3 +87,10 @@ def test_document_metadata_sort_after_the_exchange(spark):
     df = index.document_metadata(facts)
     assert "Sort" not in plan(df).partition("Exchange")[2]
     assert [(r["filing_id"], r["ticker"]) for r in df.collect()] == [("f", "A")]
+
+
+def test_sentences_are_cut_once(spark):
+    rows = spark.createDataFrame([("f", 1, "NOTE 1 LEASES\nWe paid 5. We paid 5."), ("f", 2, "More 6.")], "file string, position int, text string")
+    df = cleaning.clean_rows(rows)
+    assert "long_cut" not in plan(df)
+    assert [(r["position"], r["heading"], r["text"]) for r in df.orderBy("position", "part").collect()] == [(1, "NOTE 1 LEASES", "NOTE 1 LEASES"), (1, "NOTE 1 LEASES", "We paid 5."), (2, "NOTE 1 LEASES", "More 6.")]
